@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tickloom.llm import chat_events, source_mix
+from tickloom.llm import chat_events, cuckoo_dedup, source_mix
 
 QUERIES = {
     "op2_chat_format": chat_events.op2_chat_format,
+    "op6_exact_dedup": cuckoo_dedup.op6_exact_dedup,
     "op10_source_mix": source_mix.op10_source_mix,
 }
 
 ORACLES = {
     "op2_chat_format": chat_events.ORACLE,
+    "op6_exact_dedup": cuckoo_dedup.ORACLE,
 }

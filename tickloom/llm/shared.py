@@ -57,14 +57,13 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     """Left-join groups (one row per key, with its number of rows) to rows without moving a hot key's rows to one task.
 
     Keys with over a thousandth of all rows number under 1000, whatever the input: their group rows are broadcast.
-    All other rows join by shuffle, no key holding more than a thousandth. Null keys match nothing.
+    All other rows join by shuffle, no key holding more than a thousandth. Null keys match nothing. rows is read twice: a saved table, best.
     """
-    # Both halves read rows once each; the hot half drops out of the shuffle.
     limit = total / 1000
-    hot = groups.where(F.col(size) > limit).select(F.struct(*groups.columns).alias("_hot"), F.col(key).alias("_hot_key"))
-    cold = groups.where(F.col(size) <= limit).select(F.struct(*groups.columns).alias("_cold"), F.col(key).alias("_cold_key"))
-    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").drop("_hot_key")
-    # A hot row carries no cold key, so it is dealt by its own salt.
-    probe = F.when(F.col("_hot").isNull(), F.col(key))
-    joined = marked.withColumn("_probe", probe).join(cold, F.col("_probe") == F.col("_cold_key"), "left")
-    return joined.withColumn("_group", F.coalesce("_hot", "_cold")).drop("_hot", "_cold", "_cold_key", "_probe")
+    whole = F.struct(*groups.columns).alias("_group")
+    hot = F.broadcast(groups.where(F.col(size) > limit).select(F.col(key).alias("_key"), whole))
+    cold = groups.where(F.col(size) <= limit).select(F.col(key).alias("_key"), whole)
+    same = F.col(key) == F.col("_key")
+    apart = rows.join(hot, same).drop("_key")
+    rest = rows.join(hot.select("_key"), same, "left_anti").join(cold, same, "left").drop("_key")
+    return apart.unionByName(rest)
