@@ -67,3 +67,23 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     apart = rows.join(hot, same).drop("_key")
     rest = rows.join(hot.select("_key"), same, "left_anti").join(cold, same, "left").drop("_key")
     return apart.unionByName(rest)
+
+
+def open_folder(uri: str):
+    """pyarrow file system and path of a folder given as a path or as a URI that pyarrow knows (file, hdfs, s3, gs); for use on executors."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def write_file(uri: str, name: str, parts) -> int:
+    """Write the parts to folder/name under another name first, so that a reader never sees half a file; returns the bytes written."""
+    system, folder = open_folder(uri)
+    system.create_dir(folder, recursive=True)
+    written = 0
+    with system.open_output_stream(f"{folder}/.{name}.partial", compression=None) as out:
+        for part in parts:
+            out.write(part)
+            written += len(part)
+    system.move(f"{folder}/.{name}.partial", f"{folder}/{name}")
+    return written
