@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tickloom.llm import chat_events, cuckoo_dedup, source_mix, token_coder
+from tickloom.llm import chat_events, cuckoo_dedup, source_mix, token_coder, warc_index
 
 QUERIES = {
     "op2_chat_format": chat_events.op2_chat_format,
+    "op4_warc_archive": warc_index.op4_warc_archive,
     "op5_token_files": token_coder.op5_token_files,
     "op6_exact_dedup": cuckoo_dedup.op6_exact_dedup,
     "op10_source_mix": source_mix.op10_source_mix,

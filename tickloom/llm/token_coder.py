@@ -254,7 +254,7 @@ def read_file(data: bytes) -> tuple[np.ndarray, list, np.ndarray]:
 
 
 #: White space on which tokenizers and str.split may differ; texts that hold any are encoded whole.
-UNCERTAIN = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]")
+UNCERTAIN = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, *range(0x205F, 0x2065), 0x3000, 0xFEFF])) + "]")
 
 
 def lowered(text: str) -> str:
