@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tickloom.llm import chat_events, cuckoo_dedup, source_mix, token_coder, warc_index
+from tickloom.llm import chat_events, cuckoo_dedup, quality_fm, source_mix, token_coder, warc_index
 
 QUERIES = {
+    "op1_quality_fm": quality_fm.op1_quality_fm,
     "op2_chat_format": chat_events.op2_chat_format,
     "op4_warc_archive": warc_index.op4_warc_archive,
     "op5_token_files": token_coder.op5_token_files,
