@@ -8,8 +8,8 @@ item) equal words, and they are at least min_identity of it. Words are runs of l
 Edge cases: null and empty texts match nothing; items with fewer words than the shortest mask's window match nothing; rows that repeat a doc_id and text
 give one result, several diagonals of an item in a document give the best; empty tables give no rows; extra columns are ignored.
 
-Scale: one scan of the documents. Windows are first held against a Bloom filter of BLOOM_BITS bits over the benchmark's
-hashes (fixed size, whatever the benchmark), so only true hits, with the words around them, leave the scan; the join is on hashes.
+Scale: one scan of the documents. Windows are first held against a Bloom filter of fixed size over the benchmark's
+hashes, so only true hits, with the words around them, leave the scan; the join is on hashes.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from tickloom.llm.shared import saved
 
 MASKS = ((0, 1, 3, 4, 6), (0, 2, 3, 7, 8), (0, 1, 5, 7, 8))
 SPAN = max(m[-1] for m in MASKS) + 1
-BLOOM_BITS = 25
 SEED = "item_id bigint, at int, hash bigint"
 REGION = "region bigint, doc_id bigint, begin int, words array<bigint>, hits array<struct<at:int,hash:bigint>>"
 ARROW_HIT = pa.list_(pa.struct([("at", pa.int32()), ("hash", pa.int64())]))
@@ -52,28 +51,6 @@ def item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("item_id").fill_null(-1), lists], names=["item_id", "item"])
 
 
-def bloom_of(seed_rows: DataFrame) -> np.ndarray:
-    """2**BLOOM_BITS bits, two for each hash, as 64-bit words."""
-    cells = lambda shift: F.shiftrightunsigned("hash", shift).bitwiseAND(F.lit((1 << BLOOM_BITS) - 1))
-    bits = seed_rows.select(F.explode(F.array(cells(64 - BLOOM_BITS), cells(64 - 2 * BLOOM_BITS))).alias("cell"))
-    mask = F.expr("shiftleft(1L, CAST(cell % 64 AS INT))")
-    packed = bits.groupBy(F.floor(F.col("cell") / 64).alias("place")).agg(F.bit_or(mask).alias("bits")).toArrow()
-    table = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
-    table[packed.column("place").to_numpy()] = packed.column("bits").to_numpy()
-    return table.view(np.uint64)
-
-
-def bit_of(bloom: np.ndarray, h: np.ndarray, shift: int) -> np.ndarray:
-    cell = (h >> np.uint64(shift)) & np.uint64((1 << BLOOM_BITS) - 1)
-    return ((bloom.take((cell >> np.uint64(6)).astype(np.intp)) >> (cell & np.uint64(63))) & np.uint64(1)).astype(bool)
-
-
-def maybe_in(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Places of the hashes that the filter can't rule out."""
-    first = np.flatnonzero(bit_of(bloom, h, 64 - BLOOM_BITS))
-    return first[bit_of(bloom, h.take(first), 64 - 2 * BLOOM_BITS)]
-
-
 def scanner(bloom, margin: int) -> Callable:
     """Regions of documents around hits: hits nearer than 2 margin words share one."""
 
@@ -84,7 +61,7 @@ def scanner(bloom, margin: int) -> Callable:
             places, values = [], []
             for k, mask in enumerate(MASKS):
                 h = textscan.spaced(hashes, mask, k)
-                found = maybe_in(table, h)
+                found = textscan.maybe_in(table, h)
                 end = at[np.searchsorted(at, found, side="right")] if len(found) else found
                 found = found[found + mask[-1] < end]
                 places.append(found)
@@ -145,7 +122,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, min_i
     seed_rows = saved(tests.mapInArrow(seeds, SEED), "leak-seeds")
     items = saved(tests.mapInArrow(item_words, "item_id bigint, item array<bigint>"), "leak-items")
     margin = items.agg(F.coalesce(F.max(F.size("item")), F.lit(0))).first()[0]
-    bloom = spark.sparkContext.broadcast(bloom_of(seed_rows))
+    bloom = spark.sparkContext.broadcast(textscan.bloom_of(seed_rows, "hash", mix=False))
     regions = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scanner(bloom, int(margin)), REGION)
     regions = saved(regions, "leak-regions").dropDuplicates(["region"])
     hits = regions.select("region", F.explode("hits").alias("hit")).select("region", F.col("hit.at").alias("doc_at"), F.col("hit.hash").alias("hash"))

@@ -133,3 +133,44 @@ def spaced(hashes: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
     for k, offset in enumerate(mask):
         out += hashes[offset : offset + len(out)] * _MULTIPLIERS[k]
     return mixed(out + np.uint64(salt))
+
+
+#: A Bloom filter has 2**BLOOM_BITS bits whatever is put in, two bits each.
+BLOOM_BITS = 25
+
+
+def bloom_of(rows, column: str, mix: bool = True) -> np.ndarray:
+    """The filter over a DataFrame's column of 64-bit integers, made on the executors, as 64-bit words; mix unless they are hashes that mixed() made."""
+    from pyspark.sql import functions as F
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << BLOOM_BITS, bool)
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            h = mixed(h) if mix else h
+            for shift in (64 - BLOOM_BITS, 64 - 2 * BLOOM_BITS):
+                table[bloom_cell(h, shift)] = True
+        packed = np.packbits(table, bitorder="little").view(np.int64)
+        some = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(packed[some])], names=["place", "bits"])
+
+    parts = rows.select(column).mapInArrow(fold, "place bigint, bits bigint")
+    found = parts.groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words_ = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    words_[found.column("place").to_numpy()] = found.column("bits").to_numpy()
+    return words_.view(np.uint64)
+
+
+def bloom_cell(h: np.ndarray, shift: int) -> np.ndarray:
+    return ((h >> np.uint64(shift)) & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.intp)
+
+
+def maybe_in(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of the hashes that the filter can't rule out."""
+
+    def bit(some: np.ndarray, shift: int) -> np.ndarray:
+        cell = bloom_cell(some, shift)
+        return ((bloom.take(cell >> 6) >> (cell & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+    first = np.flatnonzero(bit(h, 64 - BLOOM_BITS))
+    return first[bit(h.take(first), 64 - 2 * BLOOM_BITS)]
