@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.llm import chat_events, cuckoo_dedup, quality_fm, source_mix, spaced_seed, token_coder, token_groups, warc_index
+from tickloom.llm import chat_events, cuckoo_dedup, license_index, quality_fm, source_mix, spaced_seed, token_coder, token_groups, warc_index
 
 QUERIES = {
     "op1_quality_fm": quality_fm.op1_quality_fm,
@@ -12,10 +12,12 @@ QUERIES = {
     "op6_exact_dedup": cuckoo_dedup.op6_exact_dedup,
     "op7_spaced_seed_leaks": spaced_seed.op7_spaced_seed_leaks,
     "op8_jaccard_groups": token_groups.op8_jaccard_groups,
+    "op9_licence_scan": license_index.op9_licence_scan,
     "op10_source_mix": source_mix.op10_source_mix,
 }
 
 ORACLES = {
     "op2_chat_format": chat_events.ORACLE,
     "op6_exact_dedup": cuckoo_dedup.ORACLE,
+    "op9_licence_scan": license_index.oracle(),
 }

@@ -294,7 +294,16 @@ class WordTokenizer:
         return [np.array(next(whole).ids, "<u4").tobytes() if ws is None else b"".join(map(known, ws)) for ws in split]
 
 
-TOKENIZERS: dict[str, WordTokenizer] = {}
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_at(path: str) -> WordTokenizer:
+    """One for each file and worker process, with the words it has seen in earlier tasks."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
+
+
 FILES = "part int, seq int, file string, n_docs bigint, n_ids bigint, n_bytes bigint"
 TOKENS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
@@ -305,9 +314,7 @@ def writer(folder: str, tokenizer: str, end_id: int) -> Callable:
 
         task = TaskContext.get()
         part, attempt, seq = task.partitionId(), task.taskAttemptId(), 0
-        if tokenizer not in TOKENIZERS:
-            TOKENIZERS[tokenizer] = WordTokenizer(tokenizer)
-        coder = TOKENIZERS[tokenizer]
+        coder = tokenizer_at(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         held, doc_ids, counts, size = [], [], [], 0
 
