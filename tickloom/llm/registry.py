@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tickloom.llm import chat_events, cuckoo_dedup, license_index, quality_fm, source_mix, spaced_seed, token_coder, token_groups, warc_index
+from tickloom.llm import chat_events, cuckoo_dedup, language_bayes, license_index, quality_fm, source_mix, spaced_seed, token_coder, token_groups, warc_index
 
 QUERIES = {
     "op1_quality_fm": quality_fm.op1_quality_fm,
     "op2_chat_format": chat_events.op2_chat_format,
+    "op3_language_id": language_bayes.op3_language_id,
     "op4_warc_archive": warc_index.op4_warc_archive,
     "op5_token_files": token_coder.op5_token_files,
     "op6_exact_dedup": cuckoo_dedup.op6_exact_dedup,
