@@ -7,7 +7,8 @@ bound and at least n - ceil(0.75 n) + 1 tokens, so linked classes share a prefix
 1. Each class is compared with the smallest and largest class that share most prefix tokens with it; links give first components.
 2. Classes of one component and like size form groups of about GROUP members. The token-group matrix holds the union of a group's
    prefix tokens. A class x of another component (from the smaller one, so each pair is asked once) can link to a member y only if the prefix tokens
-   that x shares with the group reach ceil(3/7 (|x| + |y|)) - min(tokens of x, of y beyond the hash bound); groups that can't reach this stay closed.
+   that x shares with the group reach ceil(3/7 (|x| + |y|)) less what can be shared elsewhere: min(tokens of x, of y beyond the hash bound), and
+   max(tokens of x, of y beyond their prefixes). Groups that can't reach this stay closed.
 3. For a qualifying group the overlap with the union of its members' whole sets is counted first; only if it is at least 0.75 |x| the members are compared one by one.
 
 Every link between classes of different components is found in 3, so the components are exact. Which tokens count as frequent matters for speed alone.
@@ -272,20 +273,22 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     comps = components(found)
 
     nodes = posts.select("cls").distinct().join(classes.select("cls", "n", "low"), "cls").join(comps, F.col("cls") == F.col("node"), "left").drop("node")
-    nodes = nodes.withColumn("comp", F.coalesce("comp", "cls")).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))))
+    beyond = F.col("n") - F.greatest("low", F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1)
+    nodes = nodes.withColumn("comp", F.coalesce("comp", "cls")).withColumn("beyond", beyond).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))))
     nodes = saved(nodes, "nodes")
     sizes = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     bands = nodes.groupBy("comp", "band").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
     nodes = nodes.join(sizes, "comp").join(bands, ["comp", "band"])
     nodes = saved(nodes.withColumn("g", F.xxhash64("comp", "band", F.pmod(F.xxhash64("cls"), "parts"))).drop("parts", "band"), "members")
-    groups = nodes.groupBy("g", F.col("comp").alias("g_comp"), F.col("size").alias("g_size")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("low")).alias("rest"))
+    groups = nodes.groupBy("g", F.col("comp").alias("g_comp"), F.col("size").alias("g_size")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("low")).alias("rest"), F.max("beyond").alias("g_beyond"))
     matrix = posts.join(nodes.select("cls", "g"), "cls").select("token", "g").distinct().join(groups, "g")
-    ask = posts.join(nodes.select("cls", "n", "low", "comp", "size"), "cls")
+    ask = posts.join(nodes.select("cls", "n", "low", "beyond", "comp", "size"), "cls")
     apart = (F.col("comp") != F.col("g_comp")) & (F.struct("size", "comp") < F.struct("g_size", "g_comp"))
     fits = (F.col("most") * 4 >= F.col("n") * 3) & (F.col("least") * 3 <= F.col("n") * 4)
-    k = ask.join(matrix, "token").where(apart & fits).groupBy("cls", "g", "n", "low", "least", "rest").agg(F.count(F.lit(1)).alias("k"))
+    k = ask.join(matrix, "token").where(apart & fits).groupBy("cls", "g", "n", "low", "beyond", "least", "rest", "g_beyond").agg(F.count(F.lit(1)).alias("k"))
     smallest = F.greatest("least", F.ceil(F.col("n") * 3 / 4))
-    need = F.ceil((F.col("n") + smallest) * 3 / 7 - 1e-9) - F.least(F.col("n") - F.col("low"), "rest")
+    elsewhere = F.least(F.col("n") - F.col("low"), F.col("rest"), F.greatest("beyond", "g_beyond"))
+    need = F.ceil((F.col("n") + smallest) * 3 / 7 - 1e-9) - elsewhere
     second = saved(k.where(F.col("k") >= need).select("g", "cls"), "second-queries")
     opened = saved(nodes.select("g", "cls").join(second.select("g").distinct(), "g"), "opened")
     more = second.select("cls").unionByName(opened.select("cls")).distinct().join(known.select("cls"), "cls", "left_anti")
