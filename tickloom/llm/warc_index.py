@@ -193,7 +193,10 @@ def reader(folder: str) -> Callable:
 
 def read_records(selected: DataFrame, folder: str) -> DataFrame:
     """The records of the selected index rows, read back from the archives and verified."""
-    return plan_reads(selected).select("file", "at", "size", "ranges").mapInArrow(reader(folder), RECORD)
+    # Rows of the plan are few bytes for much work: a set number of partitions, so that they aren't coalesced by size.
+    n = int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reads = plan_reads(selected).repartition(n, "file", "run", "piece")
+    return reads.select("file", "at", "size", "ranges").mapInArrow(reader(folder), RECORD)
 
 
 def op4_warc_archive(spark, sf_dir: str) -> DataFrame:
