@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from tickloom.ticks import ORDER
 
@@ -142,20 +142,10 @@ class SegmentPartition(InputPartition):
 
 
 class SegmentReader(DataSourceReader):
-    """One partition a file. Time bounds that Spark pushes down skip files by their header and rows by binary search."""
+    """One partition a file. Time bounds skip files by their header and rows by binary search."""
 
-    def __init__(self, path: str, flat: bool, batch: int):
-        self.path, self.flat, self.batch = local(path), flat, batch
-        self.low, self.high = float("-inf"), float("inf")
-
-    def pushFilters(self, filters) -> Iterator:
-        for f in filters:
-            if getattr(f, "attribute", None) == ("ts_ns",) and isinstance(getattr(f, "value", None), (int, float)):
-                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
-                    self.low = max(self.low, float(f.value))
-                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
-                    self.high = min(self.high, float(f.value))
-            yield f  # Spark applies all filters once more: bounds here are only for skipping
+    def __init__(self, path: str, flat: bool, batch: int, low: float, high: float):
+        self.path, self.flat, self.batch, self.low, self.high = local(path), flat, batch, low, high
 
     def partitions(self):
         if os.path.isfile(self.path):
@@ -182,9 +172,11 @@ class SegmentReader(DataSourceReader):
         else:
             with open(partition.path, "rb") as f:
                 columns = unpack(f.read())
-        first, last = np.searchsorted(columns[2], partition.low, "left"), np.searchsorted(columns[2], partition.high, "right")
-        for i in range(int(first) if not self.flat else 0, int(last) if not self.flat else len(columns[2]), self.batch):
-            end = min(i + self.batch, int(last) if not self.flat else len(columns[2]))
+        first, last = 0, len(columns[2])
+        if not self.flat:
+            first, last = int(np.searchsorted(columns[2], partition.low, "left")), int(np.searchsorted(columns[2], partition.high, "right"))
+        for i in range(first, last, self.batch):
+            end = min(i + self.batch, last)
             yield pa.RecordBatch.from_arrays([pa.array(c[i:end]) for c in columns], names=["price", "volume", "ts_ns"])
 
 
@@ -227,7 +219,10 @@ class SegmentWriter(DataSourceWriter):
 
 
 class SegmentSource(DataSource):
-    """Options: path (a file or folder on storage that all executors mount), flat ("true": flat tables), batch (rows of a batch, 4096)."""
+    """Options: path (a file or folder on storage that all executors mount), flat ("true": flat tables), batch (rows of a batch, 4096), from and to (inclusive time bounds).
+
+    Bounds are options, not pushed filters: Spark 4.1 keeps a Python reader with the filters of an earlier query on the same DataFrame.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -237,17 +232,22 @@ class SegmentSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> SegmentReader:
-        return SegmentReader(self.options["path"], self.options.get("flat", "false").lower() == "true", int(self.options.get("batch", 4096)))
+        return SegmentReader(self.options["path"], self.options.get("flat", "false").lower() == "true", int(self.options.get("batch", 4096)), float(self.options.get("from", "-inf")), float(self.options.get("to", "inf")))
 
     def writer(self, schema, overwrite) -> SegmentWriter:
         return SegmentWriter(self.options["path"])
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SegmentSource)
 
 
+def replay_range(spark: SparkSession, path: str, first: float, last: float, batch: int = 4096) -> DataFrame:
+    """Rows of the binary segments in path with first <= ts_ns <= last; files outside aren't read beyond their headers."""
+    register(spark)
+    return spark.read.format("tickseg").options(path=path, batch=batch, **{"from": first, "to": last}).load()
+
+
 class TickStore:
     """Segments as Parquet: each append writes files sorted by time, with footer bounds that prune range scans."""
 
