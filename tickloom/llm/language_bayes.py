@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import textscan
-from tickloom.llm.shared import attach_groups, saved
+from tickloom.llm.shared import attach_groups, lean, saved
 
 BUCKETS = 1 << 13
 TEMPER, MOST_TRIGRAMS = 0.2, 400
@@ -64,12 +64,12 @@ def fold_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             totals[lang] += np.bincount(cells, minlength=BUCKETS)
     for lang, counts in totals.items():
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some), pa.array(counts[some])], names=["lang", "cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], names=["lang", "cell", "n"])
 
 
 def train(documents: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order, and log P(cell | lang) with add-half smoothing, from all of documents (text, lang)."""
-    counts = documents.select("text", "lang").mapInArrow(fold_counts, "lang string, cell bigint, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = lean(documents).select("text", "lang").mapInArrow(fold_counts, "lang string, cell bigint, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts.column("lang").to_pylist()))
     table = np.full((len(langs), BUCKETS), 0.5)
     table[[langs.index(x) for x in counts.column("lang").to_pylist()], counts.column("cell").to_numpy()] += counts.column("n").to_numpy()
@@ -118,7 +118,7 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
     """page_id, lang, confidence, host, declared and suffix_lang for every row of pages (page_id, url, html)."""
     spark = pages.sparkSession
     langs, table = train(documents)
-    slim = pages.select("page_id", "url", "html")
+    slim = lean(pages).select("page_id", "url", "html")
     if not langs:
         return slim.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"))
     declared = F.lower(F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))

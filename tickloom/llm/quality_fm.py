@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import textscan
+from tickloom.llm.shared import lean
 
 BUCKETS, FACTORS, STATS = 1024, 8, 14
 FEATURES = BUCKETS + STATS
@@ -140,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Factorisa
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").cast("int").alias("label"))
     order = [F.md5(F.col("_id").cast("string")), "_id"]
     sample = known.where("label = 0").orderBy(*order).limit(max_rows // 2).unionByName(known.where("label = 1").orderBy(*order).limit(max_rows // 2))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "label", "text")
+    rows = lean(docs).select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "label", "text")
     found = rows.mapInArrow(vectors, "doc_id bigint, label int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
     y = np.array(found.column("label").to_pylist(), np.float32)
     if not 0 < y.sum() < len(y):
@@ -163,7 +164,7 @@ def score_documents(docs: DataFrame, model: FactorisationMachine | None) -> Data
     """docs with _quality_score (0 to 1, higher: label 1 likelier)."""
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(scorer(model), T.StructType([*docs.schema.fields, T.StructField("_quality_score", T.DoubleType())]))
+    return lean(docs).mapInArrow(scorer(model), T.StructType([*docs.schema.fields, T.StructField("_quality_score", T.DoubleType())]))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.lineage import saved, scratch, shared_base
 
-__all__ = ["attach_groups", "ascii_lower", "open_folder", "saved", "scratch", "shared_base", "text_of", "word_count", "write_file"]
+__all__ = ["attach_groups", "ascii_lower", "lean", "open_folder", "saved", "scratch", "shared_base", "text_of", "word_count", "write_file"]
 
 #: Characters that separate words and that normalised texts drop: space and \x09 to \x0D.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -17,6 +17,19 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows of an Arrow batch of texts; Spark's own default of 10000 makes batches of tens of MB in the JVM and in Python at once.
+BATCH_ROWS = 1000
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """df, after bounding the session's Arrow batches to BATCH_ROWS rows: for plans that hand texts to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import textscan
-from tickloom.llm.shared import saved
+from tickloom.llm.shared import lean, saved
 
 MASKS = ((0, 1, 3, 4, 6), (0, 2, 3, 7, 8), (0, 1, 5, 7, 8))
 SPAN = max(m[-1] for m in MASKS) + 1
@@ -118,7 +118,7 @@ def verifier(min_words: int, min_identity: float) -> Callable:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, min_identity: float = 0.7) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, start_word, span_words, equal_words."""
     spark = docs.sparkSession
-    tests = benchmark.select(F.col("item_id").cast("long"), "text")
+    tests = lean(benchmark).select(F.col("item_id").cast("long"), "text")
     seed_rows = saved(tests.mapInArrow(seeds, SEED), "leak-seeds")
     items = saved(tests.mapInArrow(item_words, "item_id bigint, item array<bigint>"), "leak-items")
     margin = items.agg(F.coalesce(F.max(F.size("item")), F.lit(0))).first()[0]

@@ -56,9 +56,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and where each text starts, and at last ends; nulls are empty."""
+    texts = texts.cast(pa.large_string())
     if texts.null_count:
         texts = texts.fill_null("")
-    texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
@@ -79,8 +79,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             start = end
 
 
-def words(data: np.ndarray, at: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words in order, where each text's words start (and at last end), and each word's first and last+1 byte."""
+def words(data: np.ndarray, at: np.ndarray, plain: bool = False, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words in order, where each text's words start (and at last end), and each word's first and last+1 byte. cuts: places inside texts before which a word ends too."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.intp)
@@ -89,6 +89,8 @@ def words(data: np.ndarray, at: np.ndarray, plain: bool = False) -> tuple[np.nda
     begin = ~gap
     cut = at[:-1][at[:-1] < n]
     begin[1:] &= gap[:-1]
+    if cuts is not None:
+        cut = np.concatenate([cut, cuts])
     first = cut[~gap[cut]]
     begin[first] = True
     starts = np.flatnonzero(begin)

@@ -8,7 +8,7 @@ state of confidence (recent hits of both predictions, and whether they agree); t
 64 bits with carries, 32-bit words out. Where several lanes change one cell in a step, the last lane's change stays.
 
 File: MAGIC, blocks, footer (zlib: doc ids, a null mark, ids per document), its length and crc32, MAGIC. A block has a header (ids, highest id,
-lanes, bytes of the list, bytes of the payload, crc32 of the payload, crc32 of the ids as little-endian 32-bit integers) and a payload: the list
+lanes, bytes of the list, bytes of the payload, crc32 of the fields before and the payload, crc32 of the ids as little-endian 32-bit integers) and a payload: the list
 of ids (a zlib-packed bitmap), words per lane, and the words.
 
 Edge cases: null or empty text has the end id alone; rows with equal doc_id are ordered by text (null doc_id first); very long texts span
@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import open_folder, saved, scratch, write_file
+from tickloom.llm import textscan
+from tickloom.llm.shared import lean, open_folder, saved, scratch, write_file
 
 MAGIC = b"TLTOKEN1"
 BLOCK = 1 << 20
@@ -106,6 +107,10 @@ class Model:
             self._refresh()
 
 
+def block_crc(shape: tuple, payload: bytes | memoryview) -> int:
+    return zlib.crc32(payload, zlib.crc32(struct.pack("<5I", *shape)))
+
+
 def lanes_of(n: int) -> int:
     return max(1, min(MAX_LANES, n // LANE_IDS))
 
@@ -168,14 +173,15 @@ def encode_block(ids: np.ndarray) -> bytes:
         table[:, w - 1] += table[:, w] >> WORD32
     words = (table & LOW32).astype("<u4")[np.arange(width) < used[:, None]]
     payload = listed + used.astype("<u4").tobytes() + words.tobytes()
-    return HEADER.pack(n, top, lanes, len(listed), len(payload), zlib.crc32(payload), zlib.crc32(ids.astype("<u4").tobytes())) + payload
+    shape = (n, top, lanes, len(listed), len(payload))
+    return HEADER.pack(*shape, block_crc(shape, payload), zlib.crc32(ids.astype("<u4").tobytes())) + payload
 
 
 def decode_block(data: memoryview) -> tuple[np.ndarray, int]:
     """The ids of the block at the start of data, and its length in bytes."""
     n, top, lanes, listed, size, crc, ids_crc = HEADER.unpack(data[: HEADER.size])
     payload = data[HEADER.size : HEADER.size + size]
-    if len(payload) != size or zlib.crc32(payload) != crc:
+    if len(payload) != size or block_crc((n, top, lanes, listed, size), payload) != crc:
         raise ValueError("a block is damaged")
     names = np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(payload[:listed]), np.uint8), count=top + 1)).astype(np.uint32)
     used = np.frombuffer(payload[listed : listed + 4 * lanes], "<u4").astype(np.intp)
@@ -253,45 +259,125 @@ def read_file(data: bytes) -> tuple[np.ndarray, list, np.ndarray]:
     return np.concatenate(blocks), doc_ids, np.frombuffer(table[9 * n :], "<u8").astype(np.int64)
 
 
-#: White space on which tokenizers and str.split may differ; texts that hold any are encoded whole.
-UNCERTAIN = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, *range(0x205F, 0x2065), 0x3000, 0xFEFF])) + "]")
+#: Byte classes for cutting words: 0 space, 1 letter, 2 digit, 3 other mark, 4 apostrophe, 5 beyond ASCII.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = 0
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[48:58], _CLASS[39], _CLASS[128:] = 2, 4, 5
+#: Pairs of neighbouring classes between which the tokenizer's own pattern always cuts.
+_CUT = np.zeros(64, bool)
+_CUT[[8 * 1 + 2, 8 * 1 + 3, 8 * 1 + 4, 8 * 2 + 1, 8 * 2 + 3, 8 * 2 + 4, 8 * 3 + 1, 8 * 3 + 2]] = True
 
 
-def lowered(text: str) -> str:
-    """The text in lower case where that is one to one whatever the library (Latin-1), else the text itself: fewer different words."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text.lower()
+class WordTokenizer:
+    """Encodes texts with a tokenizer that lower-cases and takes words apart at spaces and between letters, digits and marks, so that ids depend on nothing beyond a piece.
 
+    Pieces are known by their 64-bit hash (A-Z in lower case); the tokenizer is asked once for each. Texts with the name of a special token are encoded whole.
+    """
 
-class WordTokenizer:
-    """Encodes texts with a tokenizer that lower-cases and whose ids depend on nothing beyond a word between spaces; ids of seen words are kept, up to `most` words."""
+    TABLE_BITS = 21
+    PROBES = 6
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        if sys.byteorder != "little":
-            raise ValueError("ids are kept as little-endian integers")
         self.tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.known: dict[str, bytes] = {}
-        self.most = most
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [None if UNCERTAIN.search(x) else lowered(x).split() for x in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        words = set().union(*(x for x in split if x is not None))
-        fresh = list(words.difference(self.known))
-        for word, got in zip(fresh, self.batch(fresh, add_special_tokens=False), strict=True):
-            self.known[word] = array("I", got.ids).tobytes()
-        whole = iter(self.batch([x for x, ws in zip(texts, split, strict=True) if ws is None], add_special_tokens=False))
-        known = self.known.__getitem__
-        return [np.array(next(whole).ids, "<u4").tobytes() if ws is None else b"".join(map(known, ws)) for ws in split]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.index = np.zeros(1 << self.TABLE_BITS, np.uint64), np.zeros(1 << self.TABLE_BITS, np.int32)
+        self.known, self.used = 0, 0
+        self.start, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.store = np.zeros(1 << 18, np.uint32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each piece, -1 if unknown."""
+        slot = (h >> np.uint64(64 - self.TABLE_BITS)).astype(np.intp)
+        found = np.where(self.keys.take(slot) == h, self.index.take(slot), -1)
+        for k in range(1, self.PROBES):
+            open_ = np.flatnonzero(found < 0)
+            if not len(open_):
+                break
+            place = (slot.take(open_) + k) & ((1 << self.TABLE_BITS) - 1)
+            hit = self.keys.take(place) == h.take(open_)
+            found[open_[hit]] = self.index.take(place[hit])
+        return found
+
+    def learn(self, hashes: np.ndarray, pieces: list[str]) -> np.ndarray:
+        """Numbers of new pieces, now known."""
+        ids, counts = self.ask(pieces)
+        n = self.known
+        while n + len(pieces) > len(self.start):
+            self.start, self.count = np.concatenate([self.start, self.start]), np.concatenate([self.count, self.count])
+        while self.used + len(ids) > len(self.store):
+            self.store = np.concatenate([self.store, self.store])
+        numbers = np.arange(n, n + len(pieces), dtype=np.int32)
+        self.start[numbers], self.count[numbers] = self.used + np.cumsum(counts) - counts, counts
+        self.store[self.used : self.used + len(ids)] = ids
+        self.known, self.used = n + len(pieces), self.used + len(ids)
+        left, slot = np.arange(len(hashes)), (hashes >> np.uint64(64 - self.TABLE_BITS)).astype(np.intp)
+        for k in range(self.PROBES):  # a piece that finds no place stays unknown to the table
+            place = (slot[left] + k) & ((1 << self.TABLE_BITS) - 1)
+            free = np.flatnonzero(self.keys[place] == 0)
+            _, one = np.unique(place[free], return_index=True)
+            taken = free[one]
+            self.keys[place[taken]], self.index[place[taken]] = hashes[left[taken]], numbers[left[taken]]
+            left = np.delete(left, taken)
+        return numbers
+
+    def ask(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces, and the number of each. Pieces that are one word to the tokenizer go in lines and are told apart by their word ends."""
+        plain = np.array([x.isalpha() or x.isascii() and not any(c.isalnum() or c == "'" for c in x) for x in pieces], bool)
+        out: list[np.ndarray | None] = [None] * len(pieces)
+        places = np.flatnonzero(plain).tolist()
+        groups = [places[i : i + 64] for i in range(0, len(places), 64)]
+        single = np.flatnonzero(~plain).tolist()
+        for group, got in zip(groups, self.batch([" ".join([pieces[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, np.uint32)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(group) and cut[-1] == len(ids):
+                for i, x in zip(group, np.split(ids, cut[:-1]), strict=True):
+                    out[i] = x
+            else:
+                single += group
+        for i, got in zip(single, self.batch([pieces[i] for i in single], add_special_tokens=False), strict=True):
+            out[i] = np.array(got.ids, np.uint32)
+        return np.concatenate([*out, np.zeros(0, np.uint32)]), np.array([len(x) for x in out], np.int64)
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each with end_id behind it, and the number of ids of each text."""
+        data, at = textscan.raw_bytes(texts)
+        whole = data.tobytes()
+        if any(x in whole for x in self.special):
+            return self.encode_whole(texts, end_id)
+        kind = _CLASS.take(data)
+        cuts = np.flatnonzero(_CUT.take((kind[:-1] << 3) + kind[1:])) + 1
+        h, word_at, starts, ends = textscan.words(data, at, cuts=cuts)
+        if self.known > 1 << (self.TABLE_BITS - 1):
+            self.clear()
+        number = self.find(h)
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            fresh, first, back = np.unique(h.take(missing), return_index=True, return_inverse=True)
+            spots = missing.take(first)
+            names = [whole[a:b].decode() for a, b in zip(starts[spots].tolist(), ends[spots].tolist(), strict=True)]
+            number[missing] = self.learn(fresh, names).take(back)
+        counts = self.count.take(number)
+        begin = self.start.take(number)
+        done = np.cumsum(counts)
+        ids = self.store.take(np.repeat(begin - done + counts, counts) + np.arange(done[-1] if len(done) else 0))
+        per = np.concatenate([[0], done]).take(word_at)
+        return np.insert(ids, per[1:], np.uint32(end_id)), np.diff(per) + 1
+
+    def encode_whole(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        got = self.batch([x or "" for x in texts.to_pylist()], add_special_tokens=False)
+        return np.concatenate([np.array([*x.ids, end_id], np.uint32) for x in got]), np.array([len(x.ids) + 1 for x in got])
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -315,27 +401,24 @@ def writer(folder: str, tokenizer: str, end_id: int) -> Callable:
         task = TaskContext.get()
         part, attempt, seq = task.partitionId(), task.taskAttemptId(), 0
         coder = tokenizer_at(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         held, doc_ids, counts, size = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, doc_ids, counts, size, seq
             name = f"tokens-{part:05d}-{seq:05d}-{attempt}.tlt"
-            written = write_file(folder, name, file_parts(np.frombuffer(b"".join(held), "<u4"), doc_ids, counts))
+            written = write_file(folder, name, file_parts(np.concatenate(held), doc_ids, counts))
             row = {"part": part, "seq": seq, "file": name, "n_docs": len(doc_ids), "n_ids": size, "n_bytes": written}
             held, doc_ids, counts, size, seq = [], [], [], 0, seq + 1
             return pa.RecordBatch.from_arrays([pa.array([v], pa.int32() if k in ("part", "seq") else None) for k, v in row.items()], names=list(row))
 
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                ids_, texts = (batch.column(n).slice(i, 256).to_pylist() for n in ("doc_id", "text"))
-                for doc_id, got in zip(ids_, coder.encode([x or "" for x in texts]), strict=True):
-                    held += (got, end)
-                    doc_ids.append(doc_id)
-                    counts.append(len(got) // 4 + 1)
-                    size += counts[-1]
-                    if size >= FILE_IDS:
-                        yield flush()
+        for chunk in textscan.chunks(batches):
+            ids, n = coder.encode(chunk.column("text"), end_id)
+            held.append(ids)
+            doc_ids += chunk.column("doc_id").to_pylist()
+            counts += n.tolist()
+            size += len(ids)
+            if size >= FILE_IDS:
+                yield flush()
         if doc_ids:
             yield flush()
 
@@ -361,7 +444,7 @@ def reader(folder: str) -> Callable:
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write the ids of docs (doc_id, text) in ascending doc_id order; returns one row per file with base, the ids in all files before it."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = lean(docs).select(F.col("doc_id").cast("long"), "text")
     dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
     files = saved(dealt.mapInArrow(writer(folder, tokenizer, end_id), FILES), "token-files")
     before = F.sum("n_ids").over(W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1))

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.llm import textscan
-from tickloom.llm.shared import attach_groups, saved
+from tickloom.llm.shared import attach_groups, lean, saved
 
 SHINGLE = 5
 #: Hash bound of prefixes: a quarter of all hashes.
@@ -56,7 +56,7 @@ def token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBat
         yield part, sets, keys.view(np.int64).tolist()
 
 
-def locally_frequent(batches: Iterator[pa.RecordBatch], flush: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def locally_frequent(batches: Iterator[pa.RecordBatch], flush: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Tokens in at least LOCAL different sets of a run of documents of this task."""
     seen, held, size = set(), [], 0
 
@@ -251,7 +251,7 @@ def components(edges: DataFrame) -> DataFrame:
 def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
     spark: SparkSession = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    texts = lean(docs.select(F.col("doc_id").cast("long"), "text"))
     frequent = spark.sparkContext.broadcast(frequent_tokens(texts))
     rows = saved(texts.mapInArrow(prefixer(frequent), "doc_id bigint, n bigint, cls bigint, low bigint, prefix binary"), "sets")
     classes = saved(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("low").alias("low")), "classes")

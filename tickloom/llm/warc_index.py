@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import attach_groups, open_folder, saved, scratch, text_of
+from tickloom.llm.shared import attach_groups, lean, open_folder, saved, scratch, text_of
 
 FILE_BYTES, READ_BYTES, GAP_BYTES = 256 << 20, 8 << 20, 64 << 10
 LEVEL = 3
@@ -146,7 +146,7 @@ def revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write pages (page_id, url, html) as archives in folder; returns the index, a written table."""
-    rows = pages.select(F.col("page_id").cast("long"), "url", "html")
+    rows = lean(pages).select(F.col("page_id").cast("long"), "url", "html")
     again = revisits(rows, min_bytes)
     marked = rows.join(again, F.col("page_id").eqNullSafe(F.col("_page_id")), "left")
     long_enough = F.octet_length(text_of("html")) >= min_bytes
