@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.llm import chat_events, cuckoo_dedup, language_bayes, license_index, quality_fm, source_mix, spaced_seed, token_coder, token_groups, warc_index
+from tickloom.llm import chat_events, cuckoo_dedup, language_bayes, license_index, oracles, quality_fm, source_mix, spaced_seed, token_coder, token_groups, warc_index
 
 QUERIES = {
     "op1_quality_fm": quality_fm.op1_quality_fm,
@@ -19,6 +19,9 @@ QUERIES = {
 
 ORACLES = {
     "op2_chat_format": chat_events.ORACLE,
+    "op4_warc_archive": oracles.WARC,
     "op6_exact_dedup": cuckoo_dedup.ORACLE,
+    "op8_jaccard_groups": oracles.JACCARD,
     "op9_licence_scan": license_index.oracle(),
+    "op10_source_mix": oracles.MIX,
 }
