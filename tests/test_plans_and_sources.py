@@ -129,6 +129,24 @@ def test_csv(spark, tmp_path):
     assert sorted(tuple(r) for r in S.read_csv(spark, str(tmp_path / "x.csv")).collect()) == [(1.5, 10.0), (2.5, 0.0), (3.0, 0.0)]
 
 
+def test_charts(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"symbol": "A", "timestamp": [10, 20, 30], "close": [1.5, null, 3.0], "volume": [7, 8, null]}\n{"symbol": "B", "timestamp": [], "close": [], "volume": []}\n')
+    assert [tuple(r) for r in S.read_charts(spark, str(tmp_path / "c.json")).orderBy("ord").collect()] == [("A", 10, 10 * 10**9, 1.5, 7.0), ("A", 30, 30 * 10**9, 3.0, 0.0)]
+
+
+def test_command_line(tmp_path, capsys):
+    from tickloom.__main__ import main
+
+    S.seal(f"{tmp_path}/a{S.SUFFIX}", S.pack(*columns()))
+    (tmp_path / f"b{S.SUFFIX}").write_bytes(b"junk" * 60)
+    (tmp_path / "c.partial").write_bytes(b"")
+    assert main(["inspect", str(tmp_path)]) == 0
+    out = capsys.readouterr().out
+    assert "10 rows, time 1000 to 1090" in out and "total: 10 rows" in out and "not a segment" in out
+    assert main(["recover", str(tmp_path)]) == 0 and "1 unfinished" in capsys.readouterr().out
+    assert main([]) == 2
+
+
 def test_one_window_for_three_features(spark):
     plan = windows.rolling_features(ticks(spark, [1, 2, 3]), 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window [") == 1
@@ -190,6 +208,25 @@ def test_frames_and_feed(spark):
     assert list(feed.readBetweenOffsets({"frames": 3}, {"frames": 5})) == rows[3:5]
 
 
+def test_feed_as_stream(spark, tmp_path):
+    spark.dataSource.register(online.FeedSource)
+    port, ready = [], threading.Event()
+    t = ticks(spark, [100.0 + i for i in range(10)], [1.0 + i for i in range(10)])
+    threading.Thread(target=lambda: online.serve(t, 0, batch=4, rate=1000.0, ready=lambda p: (port.append(p), ready.set())), daemon=True).start()
+    assert ready.wait(30)
+    stream = spark.readStream.format("tickfeed").option("port", port[0]).load()
+    q = stream.writeStream.format("memory").queryName("frames").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        for _ in range(60):
+            if spark.table("frames").count() >= 10:
+                break
+            q.awaitTermination(1)
+    finally:
+        q.stop()
+    got = spark.table("frames").orderBy("sequence").collect()
+    assert [r["sequence"] for r in got] == list(range(10)) and sum(r["price"] for r in got) == 1045
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions.ieee import dot, largest, smallest, total
-from tickloom.ticks import in_order
+from tickloom.operators.windows import row_numbers
 
 
 def reduce_ticks(ticks: DataFrame) -> DataFrame:
@@ -46,8 +46,8 @@ def nearest_rank(df: DataFrame, key: str, value: str, *ps: float) -> DataFrame:
 
 def weighted_checksum(ticks: DataFrame, value: str, cycle: int = 17) -> DataFrame:
     """Sum of value_i (i mod cycle + 1) in order."""
-    numbered = ticks.withColumn("_i", F.row_number().over(in_order()) - 1)
-    return numbered.groupBy("instrument").agg(F.sum(F.col(value) * (F.col("_i") % cycle + 1)).alias("checksum"))
+    numbered = row_numbers(ticks)
+    return numbered.groupBy("instrument").agg(F.sum(F.col(value) * (F.col("rn") % cycle + 1)).alias("checksum"))
 
 
 def latency_bucket(ns: Column, buckets: int = 24) -> Column:

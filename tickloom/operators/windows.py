@@ -107,8 +107,8 @@ def halo_rolling(ticks: DataFrame, w: int, size: int = 65_536) -> DataFrame:
 
 def batch_rolling(ticks: DataFrame, w: int, batch: int) -> DataFrame:
     """rolling_features that begin anew with every batch of rows."""
-    numbered = ticks.withColumn("batch", F.floor((F.row_number().over(in_order()) - 1) / batch))
-    return rolling_features(numbered, w, "batch")
+    numbered = row_numbers(ticks).withColumn("batch", F.floor(F.col("rn") / batch))
+    return rolling_features(numbered, w, "batch").drop("rn")
 
 
 def signal(z: Column, threshold: float = 1.0) -> Column:

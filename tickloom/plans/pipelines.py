@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tickloom.functions.ieee import clamp
 from tickloom.operators import scans, windows
 from tickloom.operators.reductions import zscore
-from tickloom.ticks import in_order
 
 
 def fair_signal(w: int, place: Column) -> Column:
@@ -21,8 +20,8 @@ def fair_signal(w: int, place: Column) -> Column:
 
 def market_features(ticks: DataFrame, w: int = 128, batch: int = 65_536) -> DataFrame:
     """Returns, mean, std, vwap, ema, signal and exposure; all state begins anew with each batch of an instrument's rows."""
-    place = F.row_number().over(in_order())
-    x = ticks.withColumn("batch", F.floor((place - 1) / batch)).withColumn("place", (place - 1) % batch + 1)
+    numbered = windows.row_numbers(ticks)
+    x = numbered.withColumn("batch", F.floor(F.col("rn") / batch)).withColumn("place", F.col("rn") % batch + 1).drop("rn")
     x = x.withColumn("ret", windows.log_return(F.col("price"), "batch"))
     x = windows.rolling_features(x, w, "batch")
     x = scans.batch_scan(x, {"ema": ("price", 0.08, "value")})

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.display import display_key, region
 from tickloom.functions.ieee import ieee_log
 from tickloom.operators.reductions import order_statistics
+from tickloom.operators.windows import row_numbers
 from tickloom.ticks import ORDER, in_order
 
 YEAR = 252.0
@@ -180,9 +181,9 @@ def sort_table(report: DataFrame, key: str = "ret", ascending: bool = False) ->
 
 def downsample(ticks: DataFrame, points: int = 120) -> DataFrame:
     """Every max(1, n div points)-th tick of each instrument, from the first."""
-    n = F.count(F.lit(1)).over(W.partitionBy("instrument"))
-    x = ticks.withColumn("_stride", F.greatest(F.lit(1), F.floor(n / points))).withColumn("_i", F.row_number().over(in_order()) - 1)
-    return x.where(F.col("_i") % F.col("_stride") == 0).drop("_stride", "_i")
+    x = row_numbers(ticks)
+    strides = x.groupBy(F.col("instrument").alias("_of")).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / points)).alias("_stride"))
+    return x.join(strides, F.col("instrument").eqNullSafe(F.col("_of"))).where(F.col("rn") % F.col("_stride") == 0).drop("_of", "_stride", "rn")
 
 
 def report_json(report: DataFrame) -> DataFrame:

@@ -279,9 +279,9 @@ def time_range(ticks: DataFrame, first: int | None, last: int | None) -> DataFra
 
 def replay_batches(ticks: DataFrame, size: int = 4096) -> DataFrame:
     """Numbers (from 0) of each instrument's batches of `size` ticks in order, and bounds: what a replay hands out at once."""
-    from tickloom.ticks import in_order
+    from tickloom.operators.windows import row_numbers
 
-    x = ticks.withColumn("batch", F.floor((F.row_number().over(in_order()) - 1) / size))
+    x = row_numbers(ticks).withColumn("batch", F.floor(F.col("rn") / size))
     return x.groupBy("instrument", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("ts_ns").alias("first_ts"), F.max("ts_ns").alias("last_ts"), F.sum("price").alias("price_sum"))
 
 
@@ -289,3 +289,13 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """close,volume lines without a header; unreadable lines go, a missing volume is 0."""
     rows = spark.read.csv(path, schema="close double, volume double", mode="PERMISSIVE")
     return rows.where(F.col("close").isNotNull()).withColumn("volume", F.coalesce("volume", F.lit(0.0)))
+
+
+CHART = "symbol string, timestamp array<bigint>, close array<double>, volume array<double>"
+
+
+def read_charts(spark: SparkSession, path: str) -> DataFrame:
+    """Provider charts (one JSON object an instrument, columns as arrays) as ticks: times in seconds, a null close drops its place, a null volume counts as 0."""
+    rows = spark.read.schema(CHART).json(path).select("symbol", F.explode(F.arrays_zip("timestamp", "close", "volume")).alias("c"))
+    whole = rows.where(F.col("c.close").isNotNull() & F.col("c.timestamp").isNotNull())
+    return whole.select(F.col("symbol").alias("instrument"), F.col("c.timestamp").alias("ord"), (F.col("c.timestamp") * 1_000_000_000).alias("ts_ns"), F.col("c.close").alias("price"), F.coalesce("c.volume", F.lit(0.0)).alias("volume"))
