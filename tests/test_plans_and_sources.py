@@ -227,6 +227,16 @@ def test_feed_as_stream(spark, tmp_path):
     assert [r["sequence"] for r in got] == list(range(10)) and sum(r["price"] for r in got) == 1045
 
 
+def test_sweep_empties_only_its_own_folder(spark, tmp_path):
+    from tickloom import lineage
+
+    df = lineage.saved(spark.range(5), "five")
+    folder = lineage.own_folder(spark).removeprefix("file://")
+    assert df.count() == 5 and os.path.isdir(folder)
+    lineage.sweep(spark)
+    assert not os.path.exists(folder) and os.path.isdir(os.path.dirname(folder))
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 

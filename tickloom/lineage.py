@@ -22,9 +22,20 @@ def shared_base(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_base(spark)}/tickloom-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, as a URI where the folder is given as one."""
-    return f"{shared_base(spark)}/tickloom-{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in this application's folder, as a URI where the shared folder is given as one."""
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that this application has written in the shared folder. Results that weren't consumed yet are lost with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
