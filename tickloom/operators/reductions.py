@@ -23,20 +23,31 @@ def zscore(x: Column, *keys: str) -> Column:
     return F.when(sd == 0, 0.0).otherwise(F.try_divide(x - mean, sd))
 
 
-def at_index(df: DataFrame, key: str, value: str, indexes: dict[str, Column]) -> DataFrame:
-    """Per key the values at sorted places (from 0) that the columns give in terms of n; partial counts per distinct value, then one running sum."""
+def value_runs(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Per key its distinct values in order, with how many rows have the value (_c) and are up to it (_end), and n in all: partial counts, then one running sum."""
     counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
     run = W.partitionBy(key).orderBy(value)
-    counts = counts.withColumn("_end", F.sum("_c").over(run.rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("_c").over(W.partitionBy(key)))
-    picked = {name: F.max(F.when((F.col("_end") > i) & (F.col("_end") - F.col("_c") <= i), F.col(value))) for name, i in indexes.items()}
-    return counts.groupBy(key).agg(*[c.alias(name) for name, c in picked.items()])
+    return counts.withColumn("_end", F.sum("_c").over(run.rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("_c").over(W.partitionBy(key)))
+
+
+def at(index: Column, what: Column) -> Column:
+    """what, of the run that holds the sorted place `index` (from 0)."""
+    return F.max(F.when((F.col("_end") > index) & (F.col("_end") - F.col("_c") <= index), what))
+
+
+def at_index(df: DataFrame, key: str, value: str, indexes: dict[str, Column]) -> DataFrame:
+    """Per key the values at sorted places that the columns give in terms of n."""
+    return value_runs(df, key, value).groupBy(key).agg(*[at(i, F.col(value)).alias(name) for name, i in indexes.items()])
 
 
 def order_statistics(ticks: DataFrame) -> DataFrame:
     """Upper median and the value at floor(0.9 (n - 1)) of the volumes, and how many reach the latter."""
-    found = at_index(ticks, "instrument", "volume", {"median_volume": F.floor(F.col("n") / 2), "block_threshold": F.floor(0.90 * (F.col("n") - 1))})
-    blocks = ticks.join(found, "instrument").groupBy("instrument").agg(F.count_if(F.col("volume") >= F.col("block_threshold")).alias("block_days"))
-    return found.join(blocks, "instrument")
+    late = F.floor(0.90 * (F.col("n") - 1))
+    return value_runs(ticks, "instrument", "volume").groupBy("instrument").agg(
+        at(F.floor(F.col("n") / 2), F.col("volume")).alias("median_volume"),
+        at(late, F.col("volume")).alias("block_threshold"),
+        at(late, F.col("n") - F.col("_end") + F.col("_c")).alias("block_days"),
+    )
 
 
 def nearest_rank(df: DataFrame, key: str, value: str, *ps: float) -> DataFrame:

@@ -35,8 +35,8 @@ def analytics(ticks: DataFrame, longest: int = 20) -> DataFrame:
     p, v = F.col("price"), F.col("volume")
     last_rows = in_order().rowsBetween(W.unboundedPreceding, 0)
     x = ticks.withColumn("r", ieee_log(p / F.lag(p).over(o))).withColumn("dd", p / F.max(p).over(last_rows) - 1.0)
-    x = x.withColumn("back", F.row_number().over(W.partitionBy("instrument").orderBy(*[F.desc(c) for c in ORDER])))
-    x = x.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("instrument"))).withColumn("w", F.least(F.lit(longest), F.floor(F.col("n") / 2)))
+    x = x.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("instrument"))).withColumn("back", F.col("n") - F.row_number().over(o) + 1)
+    x = x.withColumn("w", F.least(F.lit(longest), F.floor(F.col("n") / 2)))
     x = x.where(F.col("n") >= LEAST_ROWS)
     r, key, late = F.col("r"), F.struct(*ORDER), F.col("back") <= F.col("w")
     up, down = F.sum(F.when(r > 0, v).otherwise(0.0)), F.sum(F.when(r < 0, v).otherwise(0.0))
