@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import SPACES, attach_groups, saved, text_of
+from tickloom.llm.shared import SPACES, attach_groups, lean, saved, text_of
 
 SLOTS = 4
 KICKS = 200
@@ -169,7 +169,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     bare = text
     for c in SPACES:
         bare = F.replace(bare, F.lit(c))
-    return docs.select("doc_id", F.unhex(F.sha2(bare, 256)).alias("digest"), F.length(text).cast("long").alias("n_code_points"))
+    return lean(docs).select("doc_id", F.unhex(F.sha2(bare, 256)).alias("digest"), F.length(text).cast("long").alias("n_code_points"))
 
 
 def index_rows(rows: DataFrame) -> DataFrame:

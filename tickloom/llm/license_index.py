@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import ascii_lower, saved, text_of
+from tickloom.llm.shared import ascii_lower, lean, saved, text_of
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -58,7 +58,7 @@ VOCABULARY = tuple(sorted({w for t in TEMPLATES for w in t.words}))
 def licence_words(docs: DataFrame) -> DataFrame:
     """doc_id, n_words and hits: (at, word) of the licence words, in order."""
     words = F.regexp_extract_all(ascii_lower(text_of("text")), F.lit(f"({WORDS})"), 1)
-    x = docs.select("doc_id", words.alias("w"))
+    x = lean(docs).select("doc_id", words.alias("w"))
     marked = F.transform("w", lambda w, i: F.when(w.isin(*VOCABULARY), F.struct(i.alias("at"), w.alias("word"))))
     return x.select("doc_id", F.size("w").cast("long").alias("n_words"), F.filter(marked, lambda h: h.isNotNull()).alias("hits"))
 

@@ -17,16 +17,17 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Rows of an Arrow batch of texts; Spark's own default of 10000 makes batches of tens of MB in the JVM and in Python at once.
-BATCH_ROWS = 1000
+#: Rows of a batch of texts, in Parquet's reader and on the way to Python; Spark's own defaults (4096 and 10000) make batches of tens of MB.
+BATCH_ROWS = 500
+BATCH_CONFS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
 
 
 def lean(df: DataFrame) -> DataFrame:
-    """df, after bounding the session's Arrow batches to BATCH_ROWS rows: for plans that hand texts to Python."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """df, after bounding the session's batches to BATCH_ROWS rows: for plans over whole texts."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    for key in BATCH_CONFS:
+        if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+            conf.set(key, str(BATCH_ROWS))
     return df
 
 

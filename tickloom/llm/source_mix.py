@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import saved, text_of, word_count
+from tickloom.llm.shared import lean, saved, text_of, word_count
 
 #: Coprime to every number of blocks in a shard: a prime above shard_words / block_words.
 STRIDE = 1_000_003
@@ -94,7 +94,7 @@ def mix_sources(
     if shard_words // block_words >= STRIDE or max_repeats < ratio:
         raise ValueError("shards hold too many blocks, or the repeats can't reach the ratio")
     keep = [F.struct(*payload).alias("payload")] if payload else []
-    base = docs.select("doc_id", "source", word_count(text_of("text")).alias("size"), *keep)
+    base = lean(docs).select("doc_id", "source", word_count(text_of("text")).alias("size"), *keep)
     if not payload:
         base = saved(base, "mix-sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))

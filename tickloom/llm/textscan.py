@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is one chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _random = np.random.Generator(np.random.PCG64(20240517))
 _BASE = int(_random.integers(1 << 62, 1 << 63)) | 1

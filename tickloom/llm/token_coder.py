@@ -38,8 +38,8 @@ from tickloom.llm import textscan
 from tickloom.llm.shared import lean, open_folder, saved, scratch, write_file
 
 MAGIC = b"TLTOKEN1"
-BLOCK = 1 << 20
-FILE_IDS = 1 << 22
+BLOCK = 1 << 19
+FILE_IDS = 1 << 21
 MAX_LANES = 4096
 LANE_IDS = 256
 #: Model: bits of the class total, hashed order-2 cells, states of confidence (4 x 4 x agree), steps between refreshes, weight of a count.
@@ -275,7 +275,7 @@ class WordTokenizer:
     Pieces are known by their 64-bit hash (A-Z in lower case); the tokenizer is asked once for each. Texts with the name of a special token are encoded whole.
     """
 
-    TABLE_BITS = 21
+    TABLE_BITS = 20
     PROBES = 6
 
     def __init__(self, path: str):

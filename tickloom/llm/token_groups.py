@@ -234,18 +234,27 @@ def links(sets: DataFrame, members: DataFrame, queries: DataFrame) -> DataFrame:
     return dealt.mapInArrow(open_groups, "u bigint, v bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and comp (its smallest reachable node) for all nodes of the edges (u, v): minima over neighbours, then over the label's own label, until nothing changes."""
+def components(edges: DataFrame, rounds: int = 8) -> DataFrame:
+    """node and comp (its smallest reachable node) for all nodes of the edges (u, v): minima over neighbours, then over the label's own label, until nothing changes.
+
+    Labels of a round are persisted, and written every `rounds` rounds to cut lineage.
+    """
     both = saved(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    now = saved(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("comp")), "labels")
+    now, n = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("comp")).persist(), 0
     while True:
         near = both.join(now.select(F.col("node").alias("v"), F.col("comp").alias("c")), "v").groupBy(F.col("u").alias("node")).agg(F.min("c").alias("c"))
         low = now.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "c").alias("comp"))
         jump = low.join(now.select(F.col("node").alias("_n"), F.col("comp").alias("far")), F.col("comp") == F.col("_n"))
-        new = saved(jump.select("node", "old", F.least("comp", "far").alias("comp")), "labels")
-        if not new.where("old <> comp").limit(1).count():
-            return new.select("node", "comp")
-        now = new.select("node", "comp")
+        new, n = jump.select("node", "old", F.least("comp", "far").alias("comp")).persist(), n + 1
+        changed = new.agg(F.count_if(F.col("old") != F.col("comp"))).first()[0]
+        done = new.select("node", "comp")
+        if not changed or n % rounds == 0:
+            done = saved(done, "labels")
+            new.unpersist()
+        now.unpersist()
+        if not changed:
+            return done
+        now = done
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -259,7 +268,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     total = some.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(4 * partitions, total // BUCKET_TOKENS)
-    dealt = some.mapInArrow(bucketer(buckets), "bucket bigint, tokens binary, cls binary").repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    dealt = some.mapInArrow(bucketer(buckets), "bucket bigint, tokens binary, cls binary").repartition(max(partitions, buckets // 4), "bucket").sortWithinPartitions("bucket")
     posts = saved(dealt.mapInArrow(shared_tokens, "token bigint, cls bigint"), "postings")
 
     ends = posts.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
@@ -275,11 +284,14 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     nodes = posts.select("cls").distinct().join(classes.select("cls", "n", "low"), "cls").join(comps, F.col("cls") == F.col("node"), "left").drop("node")
     beyond = F.col("n") - F.greatest("low", F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1)
     nodes = nodes.withColumn("comp", F.coalesce("comp", "cls")).withColumn("beyond", beyond).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))))
-    nodes = saved(nodes, "nodes")
-    sizes = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    bands = nodes.groupBy("comp", "band").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
-    nodes = nodes.join(sizes, "comp").join(bands, ["comp", "band"])
-    nodes = saved(nodes.withColumn("g", F.xxhash64("comp", "band", F.pmod(F.xxhash64("cls"), "parts"))).drop("parts", "band"), "members")
+    nodes = nodes.withColumn("home", F.xxhash64("comp", "band")).drop("band").persist()
+    count = nodes.count()
+    sizes = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    homes = nodes.groupBy("home").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > GROUP)
+    sized = attach_groups(nodes, sizes, "comp", "size", count).withColumn("size", F.coalesce("_group.size", F.lit(1))).drop("_group").persist()
+    held = [nodes, sized]
+    parted = attach_groups(sized, homes, "home", "members", count).withColumn("parts", F.coalesce(F.ceil(F.col("_group.members") / GROUP), F.lit(1)))
+    nodes = saved(parted.withColumn("g", F.xxhash64("home", F.pmod(F.xxhash64("cls"), "parts"))).drop("parts", "home", "_group"), "members")
     groups = nodes.groupBy("g", F.col("comp").alias("g_comp"), F.col("size").alias("g_size")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("low")).alias("rest"), F.max("beyond").alias("g_beyond"))
     matrix = posts.join(nodes.select("cls", "g"), "cls").select("token", "g").distinct().join(groups, "g")
     ask = posts.join(nodes.select("cls", "n", "low", "beyond", "comp", "size"), "cls")
@@ -290,9 +302,10 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     elsewhere = F.least(F.col("n") - F.col("low"), F.col("rest"), F.greatest("beyond", "g_beyond"))
     need = F.ceil((F.col("n") + smallest) * 3 / 7 - 1e-9) - elsewhere
     second = saved(k.where(F.col("k") >= need).select("g", "cls"), "second-queries")
-    opened = saved(nodes.select("g", "cls").join(second.select("g").distinct(), "g"), "opened")
+    opened = nodes.select("g", "cls").join(second.select("g").distinct(), "g")
     more = second.select("cls").unionByName(opened.select("cls")).distinct().join(known.select("cls"), "cls", "left_anti")
-    more = saved(more.join(classes.select("cls", "doc"), "cls"), "second-wanted")
+    more = more.join(classes.select("cls", "doc"), "cls").persist()
+    held.append(more)
     if more.limit(1).count():
         known = known.unionByName(saved(whole_sets(texts, more), "second-sets"))
     if second.limit(1).count():
@@ -301,13 +314,15 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     joined = classes.join(comps, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "cls"))
     low = comps.join(classes, F.col("cls") == F.col("node")).groupBy("comp").agg(F.min("doc").alias("component_id"))
     groups = joined.where("copies > 1 OR node IS NOT NULL").join(low, "comp", "left").select("cls", "copies", F.coalesce("component_id", "doc").alias("component_id"))
-    slim = rows.select("doc_id", "n", "cls")
-    x = attach_groups(slim, saved(groups, "set-groups"), "cls", "copies", slim.count())
+    slim, groups = rows.select("doc_id", "n", "cls"), saved(groups, "set-groups")
+    for df in held:
+        df.unpersist()
+    x = attach_groups(slim, groups, "cls", "copies", slim.count())
     return x.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_group.component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id isn't the smallest of its component; rows that repeat that doc_id and text stay once."""
+    """docs without the rows whose doc_id isn't the smallest of its component. doc_id is taken as a key: rows that repeat one share a verdict; rows without one always stay."""
     drop = saved(similar_documents(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc_id")).distinct(), "near-copies")
     return docs.join(drop, F.col("doc_id") == F.col("_doc_id"), "left_anti").select(docs.columns)
 
