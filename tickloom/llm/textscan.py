@@ -6,7 +6,10 @@ have different ones but for chance, about one pair in 2^64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,8 +68,25 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches again in slices of about CHUNK bytes of text."""
+#: What frees an operator's tables that worker processes keep between tasks, by operator, and the operator that ran last in this process.
+keepers: dict[str, Callable[[], None]] = {}
+_last = [""]
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", operator: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches again in slices of about CHUNK bytes of text. Tables that other operators keep in this process go."""
+    if _last[0] != operator and _last[0] in keepers:
+        keepers[_last[0]]()
+        gc.collect()
+        give_back()
+    _last[0] = operator
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -77,6 +97,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             end = max(start + 1, min(batch.num_rows, end - 1))
             yield batch.slice(start, end - start)
             start = end
+    give_back()
 
 
 def words(data: np.ndarray, at: np.ndarray, plain: bool = False, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -387,6 +387,7 @@ def tokenizer_at(path: str) -> WordTokenizer:
     """One for each file and worker process, with the words it has seen in earlier tasks."""
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
+        textscan.keepers["tokens"] = _tokenizers.clear
     return _tokenizers[path]
 
 
@@ -411,7 +412,7 @@ def writer(folder: str, tokenizer: str, end_id: int) -> Callable:
             held, doc_ids, counts, size, seq = [], [], [], 0, seq + 1
             return pa.RecordBatch.from_arrays([pa.array([v], pa.int32() if k in ("part", "seq") else None) for k, v in row.items()], names=list(row))
 
-        for chunk in textscan.chunks(batches):
+        for chunk in textscan.chunks(batches, operator="tokens"):
             ids, n = coder.encode(chunk.column("text"), end_id)
             held.append(ids)
             doc_ids += chunk.column("doc_id").to_pylist()

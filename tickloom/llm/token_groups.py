@@ -76,6 +76,7 @@ def locally_frequent(batches: Iterator[pa.RecordBatch], flush: int = 1_500_000)
             seen, held, size = set(), [], 0
     if held:
         yield counted()
+    textscan.give_back()
 
 
 def frequent_tokens(docs: DataFrame) -> np.ndarray:
@@ -137,6 +138,7 @@ def bucketer(buckets: int, flush: int = 1_000_000) -> Callable:
                     held, owners, size = [], [], 0
         if held:
             yield packed()
+        textscan.give_back()
 
     return bucket
 
@@ -166,6 +168,7 @@ def shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             held.append((tokens, cls))
     if held:
         yield postings()
+    textscan.give_back()
 
 
 def set_finder(bloom) -> Callable:
@@ -220,6 +223,7 @@ def open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out += [(x, members[i][0]) for i in np.flatnonzero(7 * overlap >= 3 * (n + sizes)) if members[i][0] != x]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
+    textscan.give_back()
 
 
 def links(sets: DataFrame, members: DataFrame, queries: DataFrame) -> DataFrame:
@@ -234,27 +238,18 @@ def links(sets: DataFrame, members: DataFrame, queries: DataFrame) -> DataFrame:
     return dealt.mapInArrow(open_groups, "u bigint, v bigint")
 
 
-def components(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """node and comp (its smallest reachable node) for all nodes of the edges (u, v): minima over neighbours, then over the label's own label, until nothing changes.
-
-    Labels of a round are persisted, and written every `rounds` rounds to cut lineage.
-    """
+def components(edges: DataFrame) -> DataFrame:
+    """node and comp (its smallest reachable node) for all nodes of the edges (u, v): minima over neighbours, then over the label's own label, until nothing changes."""
     both = saved(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    now, n = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("comp")).persist(), 0
+    now = saved(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("comp")), "labels")
     while True:
         near = both.join(now.select(F.col("node").alias("v"), F.col("comp").alias("c")), "v").groupBy(F.col("u").alias("node")).agg(F.min("c").alias("c"))
         low = now.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "c").alias("comp"))
         jump = low.join(now.select(F.col("node").alias("_n"), F.col("comp").alias("far")), F.col("comp") == F.col("_n"))
-        new, n = jump.select("node", "old", F.least("comp", "far").alias("comp")).persist(), n + 1
-        changed = new.agg(F.count_if(F.col("old") != F.col("comp"))).first()[0]
-        done = new.select("node", "comp")
-        if not changed or n % rounds == 0:
-            done = saved(done, "labels")
-            new.unpersist()
-        now.unpersist()
-        if not changed:
-            return done
-        now = done
+        new = saved(jump.select("node", "old", F.least("comp", "far").alias("comp")), "labels")
+        if not new.where("old <> comp").limit(1).count():
+            return new.select("node", "comp")
+        now = new.select("node", "comp")
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -284,12 +279,12 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     nodes = posts.select("cls").distinct().join(classes.select("cls", "n", "low"), "cls").join(comps, F.col("cls") == F.col("node"), "left").drop("node")
     beyond = F.col("n") - F.greatest("low", F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1)
     nodes = nodes.withColumn("comp", F.coalesce("comp", "cls")).withColumn("beyond", beyond).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))))
-    nodes = nodes.withColumn("home", F.xxhash64("comp", "band")).drop("band").persist()
+    nodes = saved(nodes.withColumn("home", F.xxhash64("comp", "band")).drop("band"), "nodes")
     count = nodes.count()
     sizes = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     homes = nodes.groupBy("home").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > GROUP)
-    sized = attach_groups(nodes, sizes, "comp", "size", count).withColumn("size", F.coalesce("_group.size", F.lit(1))).drop("_group").persist()
-    held = [nodes, sized]
+    sized = attach_groups(nodes, sizes, "comp", "size", count).withColumn("size", F.coalesce("_group.size", F.lit(1))).drop("_group")
+    sized = saved(sized, "sized")
     parted = attach_groups(sized, homes, "home", "members", count).withColumn("parts", F.coalesce(F.ceil(F.col("_group.members") / GROUP), F.lit(1)))
     nodes = saved(parted.withColumn("g", F.xxhash64("home", F.pmod(F.xxhash64("cls"), "parts"))).drop("parts", "home", "_group"), "members")
     groups = nodes.groupBy("g", F.col("comp").alias("g_comp"), F.col("size").alias("g_size")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("low")).alias("rest"), F.max("beyond").alias("g_beyond"))
@@ -304,8 +299,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     second = saved(k.where(F.col("k") >= need).select("g", "cls"), "second-queries")
     opened = nodes.select("g", "cls").join(second.select("g").distinct(), "g")
     more = second.select("cls").unionByName(opened.select("cls")).distinct().join(known.select("cls"), "cls", "left_anti")
-    more = more.join(classes.select("cls", "doc"), "cls").persist()
-    held.append(more)
+    more = saved(more.join(classes.select("cls", "doc"), "cls"), "second-wanted")
     if more.limit(1).count():
         known = known.unionByName(saved(whole_sets(texts, more), "second-sets"))
     if second.limit(1).count():
@@ -315,8 +309,6 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     low = comps.join(classes, F.col("cls") == F.col("node")).groupBy("comp").agg(F.min("doc").alias("component_id"))
     groups = joined.where("copies > 1 OR node IS NOT NULL").join(low, "comp", "left").select("cls", "copies", F.coalesce("component_id", "doc").alias("component_id"))
     slim, groups = rows.select("doc_id", "n", "cls"), saved(groups, "set-groups")
-    for df in held:
-        df.unpersist()
     x = attach_groups(slim, groups, "cls", "copies", slim.count())
     return x.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_group.component_id", "doc_id").alias("component_id"))
 
