@@ -38,7 +38,7 @@ from tickloom.llm import textscan
 from tickloom.llm.shared import lean, open_folder, saved, scratch, write_file
 
 MAGIC = b"TLTOKEN1"
-BLOCK = 1 << 19
+BLOCK = 1 << 20
 FILE_IDS = 1 << 21
 MAX_LANES = 4096
 LANE_IDS = 256
@@ -275,7 +275,7 @@ class WordTokenizer:
     Pieces are known by their 64-bit hash (A-Z in lower case); the tokenizer is asked once for each. Texts with the name of a special token are encoded whole.
     """
 
-    TABLE_BITS = 20
+    TABLE_BITS = 21
     PROBES = 6
 
     def __init__(self, path: str):
