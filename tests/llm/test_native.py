@@ -1,6 +1,7 @@
 """Operators of DataFrame functions only: chat formatting, licence scans, source mixing."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -137,6 +138,22 @@ def test_mix_meets_targets(spark):
     assert source_mix.mixed_documents(frame(spark, [(1, None, "en", "s", 0, "", "", "", "")])).count() == 0
 
 
+def test_whole_documents_meet_targets(spark):
+    r = random.Random(8)
+    sizes = {"a": [r.randint(60, 400) for _ in range(60)], "b": [r.randint(60, 400) for _ in range(60)], "c": [2000] + [r.randint(40, 90) for _ in range(60)], None: [r.randint(60, 400) for _ in range(60)]}
+    rows = [(1000 * k + i, " ".join(["w"] * n), "en", s, 0, "", "", "", "") for k, (s, all_sizes) in enumerate(sizes.items()) for i, n in enumerate(all_sizes)]
+    df = frame(spark, rows)
+    mix = source_mix.mix_sources(df, weights=(1.0, 4.0, 2.0, 5.0), ratio=1.2).collect()
+    target = {x["source"]: x["target"] for x in mix}
+    times = Counter(x["doc_id"] for x in source_mix.mixed_documents(df, weights=(1.0, 4.0, 2.0, 5.0), ratio=1.2).collect())
+    got = Counter()
+    for doc_id, text, _, source, *_ in rows:
+        got[source] += times[doc_id] * len(text.split())
+    assert any(0.1 < target[s] / sum(v) % 1 < 0.9 for s, v in sizes.items()) and max(times.values()) <= 2
+    for s in sizes:
+        assert abs(got[s] - target[s]) < 0.02 * target[s] + 32, (s, got[s], target[s])
+
+
 def test_digest_of_loss(spark):
     log = [(9, 0, 0, "message", "assistant", "ab", ""), (9, 1, 1, "message", "user", "no", ""), (9, 2, 2, "message", "assistant", "c<|", "")]
     assert hashlib.sha256(turns(spark, log)[9][1].encode()).hexdigest() == hashlib.sha256(b"abc<|").hexdigest()

@@ -90,7 +90,7 @@ def mix_sources(
     seed: int = 7,
     payload: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken, and payload (struct) if columns are named."""
+    """One row per row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken, and rank, shard, h and payload (struct) if columns are named."""
     if shard_words // block_words >= STRIDE or max_repeats < ratio:
         raise ValueError("shards hold too many blocks, or the repeats can't reach the ratio")
     keep = [F.struct(*payload).alias("payload")] if payload else []
@@ -127,14 +127,36 @@ def mix_sources(
     blocks = F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("end") - 1) / block_words))
     extra = F.aggregate(blocks, F.lit(0).cast("long"), lambda a, j: a + F.when(chosen(j), inside(j)).otherwise(0))
     taken = F.when(F.col("size") > 0, F.col("passes") * F.col("size") + F.when(F.col("extra") > 0, extra).otherwise(0)).otherwise(0)
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *(["payload"] if payload else []))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *(["rank", "shard", "h", "payload"] if payload else []))
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix as whole documents: each row of docs as often as taken / size, rounded half up (0 to max_repeats times)."""
-    mixed = mix_sources(docs, payload=docs.columns, **how)
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    return mixed.select(F.explode(F.array_repeat("payload", times)).alias("payload")).select("payload.*")
+def whole_copies(mixed: DataFrame, max_repeats: int) -> DataFrame:
+    """Adds copies, 0 to max_repeats, so that each shard's whole documents have the words that its documents are taken with, as nearly as a document allows.
+
+    The fractions of taken / size are added up from the largest document to the smallest, and a document gets one copy more where the sum passes a half: what
+    one document's rounding leaves, the next ones make up. The words then still missing or too many are a fraction of the largest document; seeded
+    documents smaller than twice that get or lose one copy for them, those first that stay within one copy of taken / size.
+    """
+    of = W.partitionBy("rank", "shard")
+    running = lambda *order: of.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    size, taken, copies, off = (F.col(c) for c in ("size", "taken", "_copies", "_off"))
+    x = mixed.where(size > 0).withColumn("_share", F.floor(taken % size * F.lit(1 << 30) / size))
+    x = x.withColumn("_sum", F.sum("_share").over(running(size.desc(), "h", "doc_id", "taken")) + F.lit(1 << 29))
+    more = F.shiftright("_sum", 30) - F.shiftright(F.col("_sum") - F.col("_share"), 30)
+    x = x.withColumn("_copies", F.floor(taken / size) + more).withColumn("_off", F.sum(taken - copies * size).over(of))
+    x = x.withColumn("_new", copies + F.signum("_off").cast("long"))
+    x = x.withColumn("_free", F.col("_new").between(0, max_repeats) & (size < 2 * F.abs(off)))
+    far = F.abs(F.col("_new") * size - taken) >= size
+    used = F.sum(F.when(F.col("_free"), size).otherwise(0)).over(running(far, "h", "doc_id", "size", "taken"))
+    x = x.withColumn("_used", used)
+    changed = F.col("_free") & (2 * F.col("_used") - size < 2 * F.abs(off))
+    return x.withColumn("copies", F.when(changed, F.col("_new")).otherwise(copies).cast("int"))
+
+
+def mixed_documents(docs: DataFrame, *, max_repeats: int = 2, **how) -> DataFrame:
+    """The mix as whole documents: each row of docs 0 to max_repeats times, each source with the words of its target but for a part of a document."""
+    mixed = whole_copies(mix_sources(docs, payload=docs.columns, max_repeats=max_repeats, **how), max_repeats)
+    return mixed.select(F.explode(F.array_repeat("payload", F.col("copies"))).alias("payload")).select("payload.*")
 
 
 def op10_source_mix(spark, sf_dir: str) -> DataFrame:
