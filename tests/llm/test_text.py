@@ -116,6 +116,29 @@ def test_seeds_find_substituted_items_and_nothing_else(spark):
     assert spaced_seed.find_leaks(frame(spark, rows), bench.where("false")).count() == 0
 
 
+def test_any_segment_with_the_identity_leaks():
+    for run, gap in ((12, 11), (20, 19), (30, 29), (40, 39)):
+        equal = np.array([True] * run + [False] * gap + [True] * run)
+        assert spaced_seed.leaking_segment(equal, 12, 0.7) == (0, run, run)
+    r = np.random.default_rng(6)
+    for _ in range(400):
+        equal = r.random(r.integers(0, 45)) < r.choice([0.4, 0.6, 0.7, 0.8])
+        every = [(i, j - i, int(equal[i:j].sum())) for j in range(len(equal) + 1) for i in range(j)]
+        right = [x for x in every if x[2] >= 12 and 10 * x[2] >= 7 * x[1]]
+        got = spaced_seed.leaking_segment(equal, 12, 0.7)
+        assert (got is None) == (not right)
+        assert got is None or (got in right and 2 * got[2] - got[1] == max(2 * n - span for _, span, n in right))
+
+
+def test_head_and_tail_of_an_item_leak(spark):
+    item = [f"q{i}" for i in range(35)]
+    text = " ".join(["before", *item[:12], *(f"z{i}" for i in range(11)), *item[23:], "after"])
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    docs = frame(spark, [(1, text, "en", "s", 0, "", "", "", ""), (2, "other words", "en", "s", 0, "", "", "", "")])
+    assert [tuple(x) for x in spaced_seed.find_leaks(docs, bench).collect()] == [(1, 1, 1, 12, 12)]
+    assert [x["doc_id"] for x in spaced_seed.clean_documents(docs, bench).collect()] == [2]
+
+
 def quality_rows():
     r = random.Random(3)
     vocabulary = [f"word{i}"[: r.randint(3, 8)] for i in range(200)]

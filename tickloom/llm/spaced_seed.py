@@ -2,8 +2,8 @@
 
 Fixed masks pick some of the words of each window and ignore the others; windows of the benchmark and of the documents that agree on
 a mask's words share a hash. Hits are verified along their diagonal (document word minus item word): +1 for equal words, -1
-for substituted ones, best segment. An item leaks into a document if that segment has at least min(min_words, words of the
-item) equal words, and they are at least min_identity of it. Words are runs of letters and digits, A-Z lower-cased, so punctuation doesn't matter.
+for substituted ones. An item leaks into a document if any segment has at least min(min_words, words of the item) equal words, and they
+are at least min_identity of it; the best of these segments is given. Words are runs of letters and digits, A-Z lower-cased, so punctuation doesn't matter.
 
 Edge cases: null and empty texts match nothing; items with fewer words than the shortest mask's window match nothing; rows that repeat a doc_id and text
 give one result, several diagonals of an item in a document give the best; empty tables give no rows; extra columns are ignored.
@@ -97,6 +97,30 @@ def best_segment(equal: np.ndarray) -> tuple[int, int, int]:
     return start, end - start, int(equal[start:end].sum())
 
 
+def leaking_segment(equal: np.ndarray, least: int, min_identity: float) -> tuple[int, int, int] | None:
+    """start, length and equal words of the segment with most equal less unequal words among all that have least equal words, min_identity of the segment; None if none has."""
+    start, span, n = best_segment(equal)
+    if n >= least and n >= min_identity * span - 1e-9:
+        return start, span, n
+    hits = np.concatenate([[0], np.cumsum(equal)])
+    if hits[-1] < least:
+        return None
+    # A segment from i to j has the identity if rest[j] >= rest[i].
+    rest = hits - min_identity * np.arange(len(hits))
+    lows = np.minimum.accumulate(rest)
+    before = np.searchsorted(hits, hits - least, side="right")  # starts that leave enough equal words
+    ends = np.flatnonzero(before > 0)
+    ends = ends[rest[ends] - lows[before[ends] - 1] >= -1e-9]
+    total, found = 2 * hits - np.arange(len(hits)), None
+    for j in ends:
+        starts = np.flatnonzero(rest[: before[j]] <= rest[j] + 1e-9)
+        scores = total[j] - total[starts]
+        k = len(scores) - 1 - int(np.argmax(scores[::-1]))
+        if found is None or scores[k] > found[0]:
+            found = int(scores[k]), int(starts[k]), int(j)
+    return found and (found[1], found[2] - found[1], int(hits[found[2]] - hits[found[1]]))
+
+
 def verifier(min_words: int, min_identity: float) -> Callable:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,8 +130,9 @@ def verifier(min_words: int, min_identity: float) -> Callable:
                 doc, item = (batch.column(n)[i].values.to_numpy() for n in ("words", "item"))
                 shift = diagonal - begin  # item word 0 stands at this place of the region
                 lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-                start, span, equal = best_segment(doc[lo + shift : hi + shift] == item[lo:hi])
-                if equal >= min(min_words, len(item)) and equal >= min_identity * span:
+                found = leaking_segment(doc[lo + shift : hi + shift] == item[lo:hi], min(min_words, len(item)), min_identity)
+                if found:
+                    start, span, equal = found
                     rows.append((doc_id, item_id, diagonal + lo + start, span, equal))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], names=[x.split()[0] for x in LEAK.split(", ")])
