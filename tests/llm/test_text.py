@@ -139,6 +139,18 @@ def test_head_and_tail_of_an_item_leak(spark):
     assert [x["doc_id"] for x in spaced_seed.clean_documents(docs, bench).collect()] == [2]
 
 
+def test_rows_that_repeat_or_lack_a_doc_id(spark):
+    texts = [" ".join(f"{k}{i}" for i in range(40)) for k in "abc"]
+    ids = [(7, 0), (7, 0), (None, 0), (3, 1), (None, 1), (3, 2), (None, 2), (None, None), (None, None)]
+    docs = frame(spark, [(d, None if t is None else texts[t], "en", f"s{k}", 0, "", "", "", "") for k, (d, t) in enumerate(ids)])
+    kept = token_groups.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(x["doc_id"]), x["text"] or "") for x in kept.collect()) == sorted([("7", texts[0]), ("3", texts[1]), ("3", texts[2]), ("None", ""), ("None", "")])
+    clean = spaced_seed.clean_documents(docs, spark.createDataFrame([(1, texts[1])], "item_id bigint, text string"))
+    assert clean.columns == docs.columns
+    assert sorted(x["source"] for x in clean.collect()) == ["s0", "s1", "s2", "s5", "s6", "s7", "s8"]
+
+
 def quality_rows():
     r = random.Random(3)
     vocabulary = [f"word{i}"[: r.randint(3, 8)] for i in range(200)]

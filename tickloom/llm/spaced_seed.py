@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import textscan
-from tickloom.llm.shared import lean, saved
+from tickloom.llm.shared import lean, saved, with_row_key
 
 MASKS = ((0, 1, 3, 4, 6), (0, 2, 3, 7, 8), (0, 1, 5, 7, 8))
 SPAN = max(m[-1] for m in MASKS) + 1
@@ -160,9 +160,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, min_i
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of docs into which no item leaks. doc_id is taken as a key: rows that repeat one share a verdict; rows without one always stay."""
-    leaks = saved(find_leaks(docs, benchmark, **how).select("doc_id").distinct(), "leak-documents")
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs into which no item leaks; rows that repeat a doc_id or lack one each have their own verdict."""
+    keyed = with_row_key(docs, "leak-rows")
+    leaks = find_leaks(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("_row"))
+    return keyed.join(saved(leaks.distinct(), "leak-documents"), "_row", "left_anti").select(docs.columns)
 
 
 def op7_spaced_seed_leaks(spark, sf_dir: str) -> DataFrame:

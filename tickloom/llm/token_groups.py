@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.llm import textscan
-from tickloom.llm.shared import attach_groups, lean, saved
+from tickloom.llm.shared import attach_groups, lean, saved, with_row_key
 
 SHINGLE = 5
 #: Hash bound of prefixes: a quarter of all hashes.
@@ -314,9 +314,13 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id isn't the smallest of its component. doc_id is taken as a key: rows that repeat one share a verdict; rows without one always stay."""
-    drop = saved(similar_documents(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc_id")).distinct(), "near-copies")
-    return docs.join(drop, F.col("doc_id") == F.col("_doc_id"), "left_anti").select(docs.columns)
+    """The first row of each component, by doc_id (nulls last); rows that repeat a doc_id or lack one are documents of their own."""
+    keyed = with_row_key(docs, "near-rows")
+    found = similar_documents(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id")
+    ranked = found.join(keyed.select("_row", F.col("doc_id").cast("long").alias("_id")), F.col("_key") == F.col("_row"))
+    ranked = saved(ranked.select("component_id", F.struct(F.col("_id").isNull().alias("none"), "_id", F.col("_key").alias("key")).alias("place")), "near-places")
+    first = ranked.groupBy("component_id").agg(F.min("place").alias("first")).select(F.col("first.key").alias("_key"))
+    return keyed.join(saved(first, "near-firsts"), F.col("_row") == F.col("_key"), "left_semi").select(docs.columns)
 
 
 def op8_jaccard_groups(spark, sf_dir: str) -> DataFrame:
