@@ -87,6 +87,15 @@ def test_archives_round_trip(spark):
     assert warc_index.write_archives(spark.createDataFrame([], PAGE), scratch(spark, "warc-none")).count() == 0
 
 
+def test_page_ids_that_repeat_with_other_payloads(spark):
+    pages = [(1, "a", "P", ""), (2, "b", "P", ""), (2, "c", "unique", ""), (3, "d", "Q", ""), (4, "e", "P", ""), (4, "f", "Q", "")]
+    folder = scratch(spark, "warc-repeats")
+    index = warc_index.write_archives(spark.createDataFrame(pages, PAGE), folder)
+    got = sorted((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"] or 0) for r in warc_index.read_records(index, folder).collect())
+    p, q, u = (warc_index.base32_sha1(x) for x in (b"P", b"Q", b"unique"))
+    assert got == sorted([(1, p, "response", 0), (2, p, "revisit", 1), (2, u, "response", 0), (3, q, "response", 0), (4, p, "revisit", 1), (4, q, "revisit", 3)])
+
+
 def test_short_payloads_are_no_revisits(spark):
     pages = spark.createDataFrame([(1, "a", "x", ""), (2, "b", "x", ""), (3, "c", "long enough", ""), (4, "d", "long enough", "")], PAGE)
     folder = scratch(spark, "warc-min")

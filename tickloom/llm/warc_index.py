@@ -7,7 +7,7 @@ urn:tickloom:page:<page_id>, so a record read back names its page and the page i
 Edge cases: null html is an empty payload, null url an absent target header; rows that repeat the smallest page_id of a group are all responses; null page_id is
 last in its group; very long pages are single records; empty tables give no archives; extra columns are ignored. A damaged record raises.
 
-Scale: digests are grouped without the pages; only the rows that become revisits are joined to pages by page_id. Tasks stream records to
+Scale: digests are grouped without the pages; only the rows that become revisits are joined to pages, by page_id and SHA-1. Tasks stream records to
 files of about FILE_BYTES and the index to a table. Reading groups a file's ranges, sorted by offset, into reads of at most READ_BYTES
 with gaps of at most GAP_BYTES, dealt over all tasks.
 """
@@ -132,7 +132,7 @@ def index_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """page_id, refers_to and refers_url of the pages whose payload an earlier page has."""
+    """page_id, SHA-1 of the payload, refers_to and refers_url of the pages whose payload an earlier page has."""
     html = text_of("html")
     keys = saved(pages.select("page_id", "url", F.sha1(html).alias("sha1"), F.octet_length(html).alias("n")).where(F.col("n") >= min_bytes), "warc-keys")
     rank = F.struct(F.col("page_id").isNull(), F.col("page_id"), F.col("url"))
@@ -141,14 +141,15 @@ def revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     x = attach_groups(keys, groups, "sha1", "copies", keys.count()).where(F.col("_group").isNotNull())
     first = F.col("_group.first")
     again = x.where(~F.col("page_id").eqNullSafe(first["page_id"]))
-    return saved(again.select(F.col("page_id").alias("_page_id"), first["page_id"].alias("refers_to"), first["url"].alias("refers_url")).distinct(), "warc-revisits")
+    return saved(again.select(F.col("page_id").alias("_page_id"), F.col("sha1").alias("_sha1"), first["page_id"].alias("refers_to"), first["url"].alias("refers_url")).distinct(), "warc-revisits")
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write pages (page_id, url, html) as archives in folder; returns the index, a written table."""
     rows = lean(pages).select(F.col("page_id").cast("long"), "url", "html")
     again = revisits(rows, min_bytes)
-    marked = rows.join(again, F.col("page_id").eqNullSafe(F.col("_page_id")), "left")
+    same = F.col("page_id").eqNullSafe(F.col("_page_id")) & (F.sha1(text_of("html")) == F.col("_sha1"))
+    marked = rows.join(again, same, "left")
     long_enough = F.octet_length(text_of("html")) >= min_bytes
     marked = marked.select("page_id", "url", "html", "refers_to", "refers_url", (F.col("refers_to").isNotNull() & long_enough).alias("revisit"))
     return saved(marked.mapInArrow(writer(folder, date), INDEX), "warc-index")
