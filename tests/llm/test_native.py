@@ -54,6 +54,15 @@ def test_empty_log(spark):
     assert turns(spark, []) == {}
 
 
+def test_rows_of_one_turn_are_messages_of_their_own(spark, tmp_path):
+    rows = [(1, 0, "user", "u1"), (1, 0, "assistant", "a1"), (1, 1, "user", "x"), (1, 1, "user", "x"), (1, 1, None, None)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in chat_events.op2_chat_format(spark, str(tmp_path)).collect()}[1]
+    said = "assistant\na1\nuser\nu1\n" + "\n\n" + "user\nx\n" * 2
+    assert (got["n_turns"], got["loss_chars"], got["turns_sha256"]) == (2, 2, hashlib.sha256(said.encode()).hexdigest())
+    assert got["formatted_chars"] == sum(12 + len(r or "") + 1 + len(t or "") + 11 for _, _, r, t in rows)
+
+
 PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 PLAIN = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
