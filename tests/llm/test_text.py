@@ -139,6 +139,18 @@ def test_head_and_tail_of_an_item_leak(spark):
     assert [x["doc_id"] for x in spaced_seed.clean_documents(docs, bench).collect()] == [2]
 
 
+def test_short_items_with_a_substitution(spark):
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in range(1, 13)}
+    bench = spark.createDataFrame([*((n, " ".join(w)) for n, w in items.items()), (50, ""), (51, None)], "item_id bigint, text string")
+    rows, want = [], set()
+    for n, w in items.items():
+        for k in range(-1, n):
+            doc = 100 * n + k + 1
+            rows.append((doc, " ".join(["before", *w[: max(k, 0)], *(["zz"] if k >= 0 else []), *w[k + 1 :], "after"]), "en", "s", 0, "", "", "", ""))
+            want |= {(doc, n)} if k < 0 or n >= 7 else set()
+    assert {(x["doc_id"], x["item_id"]) for x in spaced_seed.find_leaks(frame(spark, rows), bench).collect()} == want
+
+
 def test_rows_that_repeat_or_lack_a_doc_id(spark):
     texts = [" ".join(f"{k}{i}" for i in range(40)) for k in "abc"]
     ids = [(7, 0), (7, 0), (None, 0), (3, 1), (None, 1), (3, 2), (None, 2), (None, None), (None, None)]

@@ -2,10 +2,10 @@
 
 Fixed masks pick some of the words of each window and ignore the others; windows of the benchmark and of the documents that agree on
 a mask's words share a hash. Hits are verified along their diagonal (document word minus item word): +1 for equal words, -1
-for substituted ones. An item leaks into a document if any segment has at least min(min_words, words of the item) equal words, and they
+for substituted ones. An item leaks into a document if any segment has at least min(min_words, min_identity of the item's words) equal words, and they
 are at least min_identity of it; the best of these segments is given. Words are runs of letters and digits, A-Z lower-cased, so punctuation doesn't matter.
 
-Edge cases: null and empty texts match nothing; items with fewer words than the shortest mask's window match nothing; rows that repeat a doc_id and text
+Edge cases: null and empty texts match nothing; items with fewer words than the shortest mask's window are looked up whole; rows that repeat a doc_id and text
 give one result, several diagonals of an item in a document give the best; empty tables give no rows; extra columns are ignored.
 
 Scale: one scan of the documents. Windows are first held against a Bloom filter of fixed size over the benchmark's
@@ -14,6 +14,7 @@ hashes, so only true hits, with the words around them, leave the scan; the join
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +26,9 @@ from tickloom.llm import textscan
 from tickloom.llm.shared import lean, saved, with_row_key
 
 MASKS = ((0, 1, 3, 4, 6), (0, 2, 3, 7, 8), (0, 1, 5, 7, 8))
+#: More masks for items of 7 and 8 words: with these, one substitution anywhere leaves a window of some mask whole.
+SHORT_MASKS = ((0, 1, 2, 4, 5), (0, 2, 3, 5, 6))
+SHORTEST = min(m[-1] for m in MASKS) + 1
 SPAN = max(m[-1] for m in MASKS) + 1
 SEED = "item_id bigint, at int, hash bigint"
 REGION = "region bigint, doc_id bigint, begin int, words array<bigint>, hits array<struct<at:int,hash:bigint>>"
@@ -32,14 +36,24 @@ ARROW_HIT = pa.list_(pa.struct([("at", pa.int32()), ("hash", pa.int64())]))
 LEAK = "doc_id bigint, item_id bigint, start_word bigint, span_words bigint, equal_words bigint"
 
 
+def masks_of(size: int) -> dict[int, tuple[int, ...]]:
+    """Masks by salt that items of so many words are looked up with: of less than SHORTEST words, the whole item."""
+    if size < SHORTEST:
+        return {100 + size: tuple(range(size))} if size else {}
+    every = MASKS + SHORT_MASKS if size < SPAN else MASKS
+    return {k: m for k, m in enumerate(every) if m[-1] < size}
+
+
 def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in textscan.chunks(batches):
         hashes, at, _, _ = textscan.words(*textscan.raw_bytes(part.column("text")), plain=True)
         found = []
         for item, a, b in zip(part.column("item_id").to_pylist(), at[:-1], at[1:], strict=True):
-            for k, mask in enumerate(MASKS):
+            for k, mask in masks_of(int(b - a)).items():
                 h = textscan.spaced(hashes[a:b], mask, k)
                 found.append((np.full(len(h), -1 if item is None else item), np.arange(len(h), dtype=np.int32), h.view(np.int64)))
+        if not found:
+            continue
         columns = [np.concatenate(c) for c in zip(*found, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["item_id", "at", "hash"])
 
@@ -51,7 +65,7 @@ def item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("item_id").fill_null(-1), lists], names=["item_id", "item"])
 
 
-def scanner(bloom, margin: int) -> Callable:
+def scanner(bloom, margin: int, masks: dict[int, tuple[int, ...]]) -> Callable:
     """Regions of documents around hits: hits nearer than 2 margin words share one."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +73,7 @@ def scanner(bloom, margin: int) -> Callable:
         for part in textscan.chunks(batches):
             hashes, at, _, _ = textscan.words(*textscan.raw_bytes(part.column("text")), plain=True)
             places, values = [], []
-            for k, mask in enumerate(MASKS):
+            for k, mask in masks.items():
                 h = textscan.spaced(hashes, mask, k)
                 found = textscan.maybe_in(table, h)
                 end = at[np.searchsorted(at, found, side="right")] if len(found) else found
@@ -130,7 +144,7 @@ def verifier(min_words: int, min_identity: float) -> Callable:
                 doc, item = (batch.column(n)[i].values.to_numpy() for n in ("words", "item"))
                 shift = diagonal - begin  # item word 0 stands at this place of the region
                 lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-                found = leaking_segment(doc[lo + shift : hi + shift] == item[lo:hi], min(min_words, len(item)), min_identity)
+                found = leaking_segment(doc[lo + shift : hi + shift] == item[lo:hi], min(min_words, math.ceil(min_identity * len(item) - 1e-9)), min_identity)
                 if found:
                     start, span, equal = found
                     rows.append((doc_id, item_id, diagonal + lo + start, span, equal))
@@ -146,9 +160,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, min_i
     tests = lean(benchmark).select(F.col("item_id").cast("long"), "text")
     seed_rows = saved(tests.mapInArrow(seeds, SEED), "leak-seeds")
     items = saved(tests.mapInArrow(item_words, "item_id bigint, item array<bigint>"), "leak-items")
-    margin = items.agg(F.coalesce(F.max(F.size("item")), F.lit(0))).first()[0]
+    margin, short = items.agg(F.coalesce(F.max(F.size("item")), F.lit(0)), F.collect_set(F.when(F.size("item") < SPAN, F.size("item")))).first()
+    masks = masks_of(SPAN) | {k: m for size in short for k, m in masks_of(size).items()}
     bloom = spark.sparkContext.broadcast(textscan.bloom_of(seed_rows, "hash", mix=False))
-    regions = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scanner(bloom, int(margin)), REGION)
+    regions = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scanner(bloom, int(margin), masks), REGION)
     regions = saved(regions, "leak-regions").dropDuplicates(["region"])
     hits = regions.select("region", F.explode("hits").alias("hit")).select("region", F.col("hit.at").alias("doc_at"), F.col("hit.hash").alias("hash"))
     pairs = hits.join(seed_rows, "hash").select("region", "item_id", (F.col("doc_at") - F.col("at")).alias("diagonal")).distinct()
