@@ -1,7 +1,7 @@
 """Words of Arrow text columns as 64-bit hashes, a few array operations over all bytes of a chunk.
 
-Words are runs of bytes other than \\x20 and \\x09 to \\x0D with A-Z lower-cased, or of letters and digits where `plain` is set. Equal words have equal hashes; different words
-have different ones but for chance, about one pair in 2^64.
+Words are runs of bytes other than \\x20 and \\x09 to \\x0D with A-Z lower-cased, or of letters and digits where `plain` is set. Equal words have equal hashes. A hash is the mixed sum
+of random numbers, one for each byte at its place in the word (no polynomial, so no pair of words collides by its structure): different words collide by chance, about one pair in 2^64.
 """
 
 from __future__ import annotations
@@ -18,33 +18,16 @@ import pyarrow as pa
 CHUNK = 1 << 19
 
 _random = np.random.Generator(np.random.PCG64(20240517))
-_BASE = int(_random.integers(1 << 62, 1 << 63)) | 1
-_BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_UPPER = np.arange(65, 91)
-_BYTE[_UPPER] = _BYTE[_UPPER + 32]
+#: A random number for each of 256 bytes at each of the first REACH places of a word; later places mix the number of their stretch of REACH in.
+REACH = 64
+_TABLE = _random.integers(0, 1 << 64, REACH << 8, dtype=np.uint64)
+for _first in range(0, REACH << 8, 256):
+    _TABLE[_first + 65 : _first + 91] = _TABLE[_first + 97 : _first + 123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _PLAIN = np.ones(256, bool)
 _PLAIN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _MULTIPLIERS = _random.integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-_powers = np.ones((2, 1), np.uint64)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE ** i and its inverse modulo 2**64, for i below n."""
-    global _powers
-    if _powers.shape[1] < n:
-        size = 1 << (n - 1).bit_length()
-        table = np.ones((2, size), np.uint64)
-        inverse = pow(_BASE, -1, 1 << 64)
-        for row, base in ((0, _BASE), (1, inverse)):
-            done = 1
-            while done < size:
-                more = min(done, size - done)
-                table[row, done : done + more] = table[row, :more] * np.uint64(pow(base, done, 1 << 64))
-                done += more
-        _powers = table
-    return _powers[0, :n], _powers[1, :n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -120,12 +103,15 @@ def words(data: np.ndarray, at: np.ndarray, plain: bool = False, cuts: np.ndarra
     last = cut[cut > 0] - 1
     stop[last[~gap[last]]] = True
     ends = np.flatnonzero(stop) + 1
-    power, inverse = powers(n)
-    value = _BYTE.take(data)
-    value *= power
+    place = np.arange(n, dtype=np.int32)
+    place -= np.maximum.accumulate(np.where(begin, place, np.int32(0)))
+    value = _TABLE.take(((place & (REACH - 1)) << 8) | data)
+    if len(starts) and int((ends - starts).max()) > REACH:
+        late = np.flatnonzero(place >= REACH)
+        value[late] = mixed(value[late] + (place[late] >> 6).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(value, out=total[1:])
-    hashes = mixed((total.take(ends) - total.take(starts)) * inverse.take(starts) + (ends - starts).astype(np.uint64))
+    hashes = mixed(total.take(ends) - total.take(starts) + (ends - starts).astype(np.uint64))
     return hashes, np.searchsorted(starts, at), starts, ends
 
 
@@ -158,42 +144,45 @@ def spaced(hashes: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
     return mixed(out + np.uint64(salt))
 
 
-#: A Bloom filter has 2**BLOOM_BITS bits whatever is put in, two bits each.
-BLOOM_BITS = 25
+#: Bits of a Bloom filter, as powers of two: from 2**17 to 2**30 (128 MB), 12 or more for each key, two set by each. Beyond 90 million keys a filter lets more through.
+BLOOM_LEAST, BLOOM_MOST, BLOOM_KEY = 17, 30, 12
 
 
 def bloom_of(rows, column: str, mix: bool = True) -> np.ndarray:
     """The filter over a DataFrame's column of 64-bit integers, made on the executors, as 64-bit words; mix unless they are hashes that mixed() made."""
     from pyspark.sql import functions as F
 
+    size = min(max((BLOOM_KEY * rows.count()).bit_length(), BLOOM_LEAST), BLOOM_MOST)
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << BLOOM_BITS, bool)
+        table = np.zeros(1 << (size - 6), np.uint64)
         for batch in batches:
             h = batch.column(0).to_numpy().view(np.uint64)
             h = mixed(h) if mix else h
-            for shift in (64 - BLOOM_BITS, 64 - 2 * BLOOM_BITS):
-                table[bloom_cell(h, shift)] = True
-        packed = np.packbits(table, bitorder="little").view(np.int64)
-        some = np.flatnonzero(packed)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(packed[some])], names=["place", "bits"])
+            for shift in (64 - size, 64 - 2 * size):
+                cell = bloom_cell(h, shift, size)
+                np.bitwise_or.at(table, cell >> 6, np.uint64(1) << (cell & 63).astype(np.uint64))
+        some = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(table.view(np.int64)[some])], names=["place", "bits"])
 
     parts = rows.select(column).mapInArrow(fold, "place bigint, bits bigint")
     found = parts.groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words_ = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    words_ = np.zeros(1 << (size - 6), np.int64)
     words_[found.column("place").to_numpy()] = found.column("bits").to_numpy()
     return words_.view(np.uint64)
 
 
-def bloom_cell(h: np.ndarray, shift: int) -> np.ndarray:
-    return ((h >> np.uint64(shift)) & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.intp)
+def bloom_cell(h: np.ndarray, shift: int, size: int) -> np.ndarray:
+    return ((h >> np.uint64(shift)) & np.uint64((1 << size) - 1)).astype(np.intp)
 
 
 def maybe_in(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Places of the hashes that the filter can't rule out."""
+    size = (len(bloom) << 6).bit_length() - 1
 
     def bit(some: np.ndarray, shift: int) -> np.ndarray:
-        cell = bloom_cell(some, shift)
+        cell = bloom_cell(some, shift, size)
         return ((bloom.take(cell >> 6) >> (cell & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
 
-    first = np.flatnonzero(bit(h, 64 - BLOOM_BITS))
-    return first[bit(h.take(first), 64 - 2 * BLOOM_BITS)]
+    first = np.flatnonzero(bit(h, 64 - size))
+    return first[bit(h.take(first), 64 - 2 * size)]

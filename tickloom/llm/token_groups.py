@@ -1,23 +1,25 @@
 """Exact n-gram Jaccard join (similarity 0.75 or more on distinct 5-word shingles) over a token-group matrix.
 
 Shingles are 64-bit hashes (two texts with tens of thousands of words meet by chance with a probability of about 1e-10). Equal
-sets are one class from the start. Tokens are ordered by hash, frequent ones last; a class's prefix has the tokens under a fixed hash
-bound and at least n - ceil(0.75 n) + 1 tokens, so linked classes share a prefix token. Then:
+sets are one class from the start. Tokens are ordered by frequency, as a sketch of all sets counts it (rare ones by hash alone); a class's prefix has its first
+n - ceil(0.75 n) + 1 tokens, so linked classes share a prefix token, and of what x and y share at most max(|x|, |y| beyond their prefixes) stays out of sight. Then:
 
-1. Each class is compared with the smallest and largest class that share most prefix tokens with it; links give first components.
-2. Classes of one component and like size form groups of about GROUP members. The token-group matrix holds the union of a group's
-   prefix tokens. A class x of another component (from the smaller one, so each pair is asked once) can link to a member y only if the prefix tokens
-   that x shares with the group reach ceil(3/7 (|x| + |y|)) less what can be shared elsewhere: min(tokens of x, of y beyond the hash bound), and
-   max(tokens of x, of y beyond their prefixes). Groups that can't reach this stay closed.
-3. For a qualifying group the overlap with the union of its members' whole sets is counted first; only if it is at least 0.75 |x| the members are compared one by one.
+1. Rounds of contraction: each class is led to the classes that come first and last, by a hash of the round, among those with one of its prefix
+   tokens, and compared with those of other components that it is led to most often and whose sketch is like its own; links join components. Rounds end when few comparisons still find a link.
+2. Classes that share their component, or the component of the class they were led to most often, and have like size form groups of about GROUP members. The token-group
+   matrix holds the union of a group's prefix tokens, for tokens that still meet in several components. Groups are bounded against groups: a pair is opened only
+   if the distinct prefix tokens that both unions have reach what the smallest members need, less what can lie beyond the prefixes.
+3. In an opened pair each member of the one is a query: the overlap with the union of the other's whole sets is counted first; only if it is at least 0.75 |x| the
+   members of other components are compared one by one.
 
-Every link between classes of different components is found in 3, so the components are exact. Which tokens count as frequent matters for speed alone.
+Every link between classes of different components is found in 3, so the components are exact. What the sketch counts, and how many rounds run, matters for speed alone.
 
 Edge cases: null and empty texts, and those without words, have size 0 and link to nothing; texts with fewer than 5 words have one shingle; rows that repeat a
 doc_id count as documents of their own with that id; an empty table gives no rows; extra columns are ignored.
 
-Scale: three or four scans of the texts, none of which shuffles them; prefixes move once, packed by token bucket; whole sets move only for
-classes that are compared. Groups are bounded and their queries are salted by SALT; copies come back by attach_groups, so no hot class lands in one task.
+Scale: the texts are read and hashed once, to packed sets (one of a class and task); prefixes move once, packed by token bucket; whole sets move only for
+classes that are compared. Token joins have a row per token and pair of groups, not of classes. Groups are bounded and their queries are salted by SALT; copies come back by
+attach_groups, so no hot class lands in one task. The sketch has a fixed size (4 << CELL_BITS bytes), the Bloom filters grow with the classes wanted.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,12 +36,19 @@ from tickloom.llm import textscan
 from tickloom.llm.shared import attach_groups, lean, saved, with_row_key
 
 SHINGLE = 5
-#: Hash bound of prefixes: a quarter of all hashes.
-BOUND = np.uint64(1 << 62)
-#: Frequent tokens: at least so many classes; at most so many tokens, the commonest ones (8 bytes each go to every executor).
-FREQUENT, MOST_FREQUENT, LOCAL = 64, 1 << 17, 3
-GROUP, BAND, SALT = 48, 1.1, 512
+#: Cells of the frequency sketch, in blocks that tasks send; a token is frequent if its cell counts at least FREQUENT and twice the mean.
+CELL_BITS, CELL_BLOCK, FREQUENT = 21, 4096, 32
+GROUP, BAND, SALT = 48, 1.1, 64
 BUCKET_TOKENS = 500_000
+#: Contraction compares a class with up to LEADS others whose SKETCH least tokens let a similarity of LIKELY be expected.
+LEADS, SKETCH, LIKELY = 4, 24, 0.6
+#: Contraction ends with a round that found no more than one link in so many comparisons.
+FRUITLESS = 10
+
+
+def legal(n: np.ndarray | int):
+    """Tokens of a prefix: linked sets share at least one."""
+    return n - -(-3 * n // 4) + 1
 
 
 def token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[int]]]:
@@ -56,66 +65,72 @@ def token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBat
         yield part, sets, keys.view(np.int64).tolist()
 
 
-def locally_frequent(batches: Iterator[pa.RecordBatch], flush: int = 1_500_000) -> Iterator[pa.RecordBatch]:
-    """Tokens in at least LOCAL different sets of a run of documents of this task."""
-    seen, held, size = set(), [], 0
-
-    def counted() -> pa.RecordBatch:
-        tokens, n = np.unique(np.concatenate(held), return_counts=True)
-        often = n >= LOCAL
-        return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(n[often])], names=["token", "n"])
-
-    for _, sets, keys in token_sets(batches):
+def set_writer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, n, cls and, once a class and task, the packed set and its SKETCH least tokens."""
+    seen = set()
+    for part, sets, keys in token_sets(batches):
+        packed, least = [], []
         for s, key in zip(sets, keys, strict=True):
-            if len(s) and key not in seen:
+            new = len(s) and key not in seen
+            if new:
                 seen.add(key)
-                held.append(s)
-                size += len(s)
-        if size >= flush:
-            yield counted()
-            seen, held, size = set(), [], 0
-    if held:
-        yield counted()
-    textscan.give_back()
+            packed.append(s.tobytes() if new else None)
+            least.append(s[:SKETCH].view(np.int64) if new else None)
+        n = [len(s) for s in sets]
+        columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array([k if c else None for k, c in zip(keys, n, strict=True)], pa.int64()), pa.array(packed, pa.binary()), pa.array(least, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "cls", "tokens", "least"])
+
+
+def cell_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.intp)
+
+
+def whole_bytes(column: pa.Array) -> np.ndarray:
+    """All tokens of a column of packed sets."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view(np.uint64) if at[-1] > at[0] else np.zeros(0, np.uint64)
 
 
-def frequent_tokens(docs: DataFrame) -> np.ndarray:
-    n = docs.mapInArrow(locally_frequent, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    return np.sort(n.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toArrow().column("token").to_numpy().view(np.uint64))
-
-
-def prefixer(frequent) -> Callable:
-    """doc_id, n, cls, low (tokens under the bound that aren't frequent) and, once a class and task, the prefix."""
-
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, seen = frequent.value, set()
-        for part, sets, keys in token_sets(batches):
-            lows, prefixes = [], []
-            for s, key in zip(sets, keys, strict=True):
-                rare = s
-                if len(often) and len(s):
-                    place = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    common = often.take(place) == s
-                    if common.any():
-                        rare = s[~common]
-                        s = np.concatenate([rare, s[common]])
-                low = int(np.searchsorted(rare, BOUND))
-                lows.append(low)
-                if key in seen or not len(s):
-                    prefixes.append(None)
-                else:
-                    seen.add(key)
-                    prefixes.append(s[: max(low, len(s) - -(-3 * len(s) // 4) + 1)].tobytes())
-            n = [len(s) for s in sets]
-            columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array([k if c else None for k, c in zip(keys, n, strict=True)], pa.int64()), pa.array(lows, pa.int64()), pa.array(prefixes, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "cls", "low", "prefix"])
-
-    return prefix
-
-
-def bucketer(buckets: int, flush: int = 1_000_000) -> Callable:
+def count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, some = np.zeros(1 << CELL_BITS, np.uint32), False
+    for batch in batches:
+        tokens = whole_bytes(batch.column("tokens"))
+        if len(tokens):
+            cells, n = np.unique(cell_of(tokens), return_counts=True)
+            total[cells] += n.astype(np.uint32)
+            some = True
+    if some:
+        blocks = total.reshape(-1, CELL_BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks))), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "counts"])
+
+
+def add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = {}
+    for batch in batches:
+        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
+            mine = np.frombuffer(counts.as_buffer(), np.uint32).astype(np.uint64)
+            found[block] = found[block] + mine if block in found else mine
+    if found:
+        high = np.uint64(0xFFFFFFFF)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([np.minimum(x, high).astype(np.uint32).tobytes() for x in found.values()], pa.binary())], names=["block", "counts"])
+
+
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How often the tokens of each cell occur in all sets; 0 where that is not frequent."""
+    parts = sets.where("tokens IS NOT NULL").select("tokens").mapInArrow(count_cells, "block bigint, counts binary")
+    added = parts.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block").mapInArrow(add_blocks, "block bigint, counts binary").toArrow()
+    table = np.zeros((1 << CELL_BITS) // CELL_BLOCK * CELL_BLOCK, np.uint32).reshape(-1, CELL_BLOCK)
+    for block, counts in zip(added.column("block").to_pylist(), added.column("counts").to_pylist(), strict=True):
+        table[block] = np.frombuffer(counts, np.uint32)
+    table = table.ravel()
+    return np.where(table >= max(FREQUENT, 2 * float(table.mean())), table, np.uint32(0))
+
+
+def bucketer(frequent, buckets: int, flush: int = 1_000_000) -> Callable:
+    """Prefixes of packed sets, by token bucket."""
+
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, owners, size = [], [], 0
+        often, held, owners, size = frequent.value, [], [], 0
 
         def packed() -> pa.RecordBatch:
             tokens, cls = np.concatenate(held), np.concatenate(owners)
@@ -128,8 +143,12 @@ def bucketer(buckets: int, flush: int = 1_000_000) -> Callable:
             return pa.RecordBatch.from_arrays(columns, names=["bucket", "tokens", "cls"])
 
         for batch in batches:
-            for key, prefix in zip(batch.column("cls").to_pylist(), batch.column("prefix"), strict=True):
-                tokens = np.frombuffer(prefix.as_buffer(), np.uint64)
+            for key, whole in zip(batch.column("cls").to_pylist(), batch.column("tokens"), strict=True):
+                tokens = np.frombuffer(whole.as_buffer(), np.uint64)
+                level = often.take(cell_of(tokens))
+                if level.any():
+                    tokens = tokens[np.lexsort((tokens, level))]
+                tokens = tokens[: legal(len(tokens))]
                 held.append(tokens)
                 owners.append(np.full(len(tokens), key, np.int64))
                 size += len(tokens)
@@ -172,72 +191,79 @@ def shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def set_finder(bloom) -> Callable:
-    """Whole sets of the documents whose class may be wanted."""
+    """Rows of packed sets whose class may be wanted."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bloom.value
-        for part, sets, keys in token_sets(batches):
-            hit = textscan.maybe_in(table, textscan.mixed(np.array(keys, np.int64).view(np.uint64)))
+        for batch in batches:
+            hit = textscan.maybe_in(table, textscan.mixed(batch.column("cls").to_numpy().view(np.uint64)))
             if len(hit):
-                columns = [part.column("doc_id").take(pa.array(hit)), pa.array([keys[i] for i in hit], pa.int64()), pa.array([sets[i].tobytes() for i in hit], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "cls", "tokens"])
+                yield batch.take(pa.array(hit))
 
     return find
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def whole_sets(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     """cls and tokens of the wanted classes (cls, doc: the document that stands for it)."""
-    spark = docs.sparkSession
-    bloom = spark.sparkContext.broadcast(textscan.bloom_of(wanted, "cls"))
-    found = docs.mapInArrow(set_finder(bloom), "doc_id bigint, cls bigint, tokens binary")
+    bloom = sets.sparkSession.sparkContext.broadcast(textscan.bloom_of(wanted, "cls"))
+    found = sets.where("tokens IS NOT NULL").select("doc_id", "cls", "tokens").mapInArrow(set_finder(bloom), "doc_id bigint, cls bigint, tokens binary")
     rows = found.join(wanted.select(F.col("cls").alias("_cls"), "doc"), (F.col("cls") == F.col("_cls")) & F.col("doc_id").eqNullSafe(F.col("doc")))
     return rows.select("cls", "tokens").dropDuplicates(["cls"])
 
 
 def open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between queries (kind 1) and the members (kind 0) of their group and salt; rows come sorted so, members first."""
+    """Links between queries (kind 1) and those members (kind 0) of their group and salt that are of other components; rows come sorted so, members first."""
     now, members, ready = None, [], None
     for batch in batches:
         out = []
-        for g, salt, kind, cls, tokens in zip(*(batch.column(k) for k in ("g", "salt", "kind", "cls", "tokens")), strict=True):
+        for g, salt, kind, cls, comp, tokens in zip(*(batch.column(k) for k in ("g", "salt", "kind", "cls", "comp", "tokens")), strict=True):
             key = (g.as_py(), salt.as_py())
             if key != now:
                 now, members, ready = key, [], None
             mine = np.frombuffer(tokens.as_buffer(), np.uint64)
             if kind.as_py() == 0:
-                members.append((cls.as_py(), mine))
+                members.append((cls.as_py(), comp.as_py(), mine))
                 continue
             if not members:
                 continue
             if ready is None:
-                all_tokens = np.concatenate([m for _, m in members])
-                owner = np.repeat(np.arange(len(members)), [len(m) for _, m in members])
-                ready = all_tokens, owner, np.unique(all_tokens), np.array([len(m) for _, m in members])
-            all_tokens, owner, union, sizes = ready
-            x, n = cls.as_py(), len(mine)
+                all_tokens = np.concatenate([m for _, _, m in members])
+                owner = np.repeat(np.arange(len(members)), [len(m) for _, _, m in members])
+                ready = all_tokens, owner, np.unique(all_tokens), np.array([len(m) for _, _, m in members]), np.array([c for _, c, _ in members])
+            all_tokens, owner, union, sizes, comps = ready
+            n = len(mine)
             place = np.minimum(np.searchsorted(union, mine), len(union) - 1)
             if 4 * int((union.take(place) == mine).sum()) < 3 * n:
                 continue
             place = np.minimum(np.searchsorted(mine, all_tokens), n - 1)
             overlap = np.bincount(owner[mine.take(place) == all_tokens], minlength=len(members))
-            out += [(x, members[i][0]) for i in np.flatnonzero(7 * overlap >= 3 * (n + sizes)) if members[i][0] != x]
+            x = cls.as_py()
+            out += [(x, members[i][0]) for i in np.flatnonzero((7 * overlap >= 3 * (n + sizes)) & (comps != comp.as_py()))]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
     textscan.give_back()
 
 
 def links(sets: DataFrame, members: DataFrame, queries: DataFrame) -> DataFrame:
-    """Links (u, v) of the queries (g, cls) with the members (g, cls) of their groups."""
+    """Links (u, v) of the queries (g, cls, comp) with the members (g, cls, comp) of their groups, between components."""
     asked = queries.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
     tokens = sets.select(F.col("cls").alias("_cls"), "tokens")
     one = members.join(asked, "g").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("kind", F.lit(0))
     two = queries.join(asked, "g").withColumn("salt", F.pmod(F.xxhash64("cls"), "salts").cast("int")).withColumn("kind", F.lit(1))
-    rows = one.select("g", "salt", "kind", "cls").unionByName(two.select("g", "salt", "kind", "cls"))
-    rows = rows.join(tokens, F.col("cls") == F.col("_cls")).select("g", "salt", "kind", "cls", "tokens")
+    rows = one.select("g", "salt", "kind", "cls", "comp").unionByName(two.select("g", "salt", "kind", "cls", "comp"))
+    rows = rows.join(tokens, F.col("cls") == F.col("_cls")).select("g", "salt", "kind", "cls", "comp", "tokens")
     dealt = rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "kind")
     return dealt.mapInArrow(open_groups, "u bigint, v bigint")
 
 
+def relabelled(nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """nodes with the components of their components (node, comp)."""
+    sizes = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    groups = sizes.join(comps.select("node", F.col("comp").alias("new")), F.col("comp") == F.col("node")).select("comp", "size", "new")
+    x = attach_groups(nodes, groups, "comp", "size", nodes.count())
+    return x.withColumn("comp", F.coalesce("_group.new", "comp")).drop("_group")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and comp (its smallest reachable node) for all nodes of the edges (u, v): minima over neighbours, then over the label's own label, until nothing changes."""
     both = saved(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
@@ -252,63 +278,141 @@ def components(edges: DataFrame) -> DataFrame:
         now = new.select("node", "comp")
 
 
+def fewest_shared(least: str, most: str, o_least: str, o_most: str) -> Column:
+    """A lower bound on the prefix tokens that x and y share if they link, for sizes of least to most and of o_least to o_most.
+
+    A link needs 3/7 (|x| + |y|) shared tokens with |y| >= 0.75 |x|; fewer than 0.75 |x| of them lie beyond x's prefix if that ends first.
+    """
+
+    def ending_first(most: str, other: str) -> Column:
+        return F.greatest(F.col(other), F.col(most) * 0.75) * 3 / 7 - F.col(most) * 9 / 28
+
+    return F.least(ending_first(most, o_least), ending_first(o_most, least)) - 1e-6
+
+
+def alike(least: str, o_least: str) -> Column:
+    """The similarity of two sets, as estimated by the SKETCH least tokens of their union."""
+    union = F.slice(F.sort_array(F.transform(F.array_union(least, o_least), unsigned)), 1, SKETCH)
+    both = F.transform(F.array_intersect(least, o_least), unsigned)
+    return F.size(F.array_intersect(union, both)) / F.size(union)
+
+
+def unsigned(token: Column) -> Column:
+    """Signed integers in the order of the unsigned ones."""
+    return token.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def more_sets(rows: DataFrame, classes: DataFrame, known: DataFrame | None, wanted: DataFrame) -> DataFrame:
+    """The known sets (cls, tokens) and those of the wanted classes (cls) that are not among them."""
+    if known is not None:
+        wanted = wanted.join(known.select("cls"), "cls", "left_anti")
+    wanted = saved(wanted.join(classes.select("cls", "doc"), "cls"), "wanted")
+    if known is not None and not wanted.limit(1).count():
+        return known
+    found = saved(whole_sets(rows, wanted), "whole-sets")
+    return found if known is None else known.unionByName(found)
+
+
+def merged(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """nodes with the components that the links join."""
+    of = nodes.select("cls", "comp")
+    edges = found.join(of.select(F.col("cls").alias("u"), F.col("comp").alias("_u")), "u").join(of.select(F.col("cls").alias("v"), F.col("comp").alias("_v")), "v")
+    return saved(relabelled(nodes, components(edges.select(F.col("_u").alias("u"), F.col("_v").alias("v")))), "nodes")
+
+
+def meeting(posts: DataFrame, nodes: DataFrame, *extra) -> tuple[DataFrame, DataFrame]:
+    """Postings with the columns of their class, and of tokens that meet in several components the extra aggregates."""
+    meet = posts.join(nodes, "cls")
+    ends = meet.groupBy("token").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), *extra).where("_a <> _b").drop("_a", "_b")
+    return meet, ends
+
+
+def contracted(rows: DataFrame, classes: DataFrame, posts: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """nodes after rounds of contraction, with the class they were led to first in `home`, and the sets known by then."""
+    known, turn, sketches = None, 0, classes.select("cls", "least")
+    while True:
+        turn += 1
+        place = F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("g"), F.col("comp").alias("g_comp"))
+        meet, ends = meeting(posts, nodes.select("cls", "comp"), F.min(place).alias("lo"), F.max(place).alias("hi"))
+        leads = meet.join(ends, "token").select("cls", "comp", F.explode(F.array("lo", "hi")).alias("end")).where("comp <> end.g_comp")
+        leads = leads.groupBy("cls", "comp", F.col("end.g").alias("g"), F.col("end.g_comp").alias("g_comp")).agg(F.count(F.lit(1)).alias("k"))
+        best = F.row_number().over(W.partitionBy("cls").orderBy(F.desc("k"), "g"))
+        leads = leads.withColumn("place", best).where(F.col("place") <= LEADS).join(sketches, "cls").join(sketches.select(F.col("cls").alias("g"), F.col("least").alias("g_least")), "g")
+        asked = saved(leads.where(alike("least", "g_least") >= LIKELY).select("g", "g_comp", "cls", "comp", "place"), "queries")
+        stars = asked.select(F.col("g").alias("cls"), F.col("g_comp").alias("comp")).distinct()
+        known = more_sets(rows, classes, known, asked.select("cls").unionByName(stars.select("cls")).distinct())
+        found = saved(links(known, stars.select(F.col("cls").alias("g"), "cls", "comp"), asked.select("g", "cls", "comp")), "found")
+        led = asked.groupBy(F.col("cls").alias("_cls")).agg(F.min_by("g", "place").alias("_lead"))
+        nodes = nodes.join(led, F.col("cls") == F.col("_cls"), "left").withColumn("home", F.coalesce("home", "_lead")).drop("_cls", "_lead")
+        nodes, n_asked, n_found = saved(nodes, "nodes"), asked.count(), found.count()
+        if n_found:
+            nodes = merged(nodes, found)
+        if n_found * FRUITLESS <= n_asked:
+            return nodes, known
+
+
+def grouped(nodes: DataFrame) -> DataFrame:
+    """nodes with their group g: classes of a component, and those led to it, that are of like size, in parts of about GROUP."""
+    of = nodes.select(F.col("cls").alias("_cls"), F.col("comp").alias("_comp"))
+    alone = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("_size")).where("_size = 1").select(F.col("comp").alias("_alone"))
+    x = nodes.join(of, F.col("home") == F.col("_cls"), "left").join(alone, F.col("comp") == F.col("_alone"), "left")
+    home = F.when(F.col("_alone").isNotNull(), F.coalesce("_comp", "comp")).otherwise(F.col("comp"))
+    x = x.withColumn("home", F.xxhash64(home, F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND)))))
+    x = saved(x.select(*nodes.columns), "homes")
+    large = x.groupBy("home").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > GROUP)
+    parted = attach_groups(x, large, "home", "members", x.count()).withColumn("parts", F.coalesce(F.ceil(F.col("_group.members") / GROUP), F.lit(1)))
+    return saved(parted.withColumn("g", F.xxhash64("home", F.pmod(F.xxhash64("cls"), "parts"))).select("cls", "n", "comp", "g"), "members")
+
+
+def group_pairs(posts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (g, asks) of groups that may hold a link between components: members of `asks`, the smaller group, are to be compared with those of g."""
+    ids = F.struct(F.min("comp").alias("a"), F.max("comp").alias("b"))
+    groups = nodes.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), ids.alias("comps"), F.count(F.lit(1)).alias("members"))
+    meet, ends = meeting(posts, nodes.select("cls", "g", "comp"))
+    matrix = saved(meet.select("token", "g").distinct().join(ends, "token", "left_semi").join(groups, "g"), "matrix")
+    other = matrix.select("token", *[F.col(c).alias(f"o_{c}") for c in groups.columns])
+    one = (F.col("comps.a") == F.col("comps.b")) & (F.col("comps") == F.col("o_comps"))
+    fits = (F.col("most") * 4 >= F.col("o_least") * 3) & (F.col("o_most") * 4 >= F.col("least") * 3)
+    key = ["g", "o_g", "least", "most", "o_least", "o_most", "members", "o_members"]
+    k = matrix.join(other, "token").where((F.col("g") <= F.col("o_g")) & ~one & fits).groupBy(*key).agg(F.count(F.lit(1)).alias("k"))
+    k = k.where(F.col("k") >= fewest_shared("least", "most", "o_least", "o_most"))
+    swap = F.col("members") < F.col("o_members")
+    return saved(k.select(F.when(swap, F.col("o_g")).otherwise(F.col("g")).alias("g"), F.when(swap, F.col("g")).otherwise(F.col("o_g")).alias("asks")), "group-pairs")
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
     spark: SparkSession = docs.sparkSession
-    texts = lean(docs.select(F.col("doc_id").cast("long"), "text"))
-    frequent = spark.sparkContext.broadcast(frequent_tokens(texts))
-    rows = saved(texts.mapInArrow(prefixer(frequent), "doc_id bigint, n bigint, cls bigint, low bigint, prefix binary"), "sets")
-    classes = saved(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("low").alias("low")), "classes")
-    some = rows.where("prefix IS NOT NULL").select("cls", "prefix")
-    total = some.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8
+    rows = saved(lean(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(set_writer, "doc_id bigint, n bigint, cls bigint, tokens binary, least array<bigint>"), "sets")
+    held = F.min(F.when(F.col("tokens").isNotNull(), F.col("doc_id")))
+    classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"), held.alias("doc"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("least").alias("least"))
+    classes = saved(classes, "classes")
+    frequent = spark.sparkContext.broadcast(frequencies(rows))
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 4
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(4 * partitions, total // BUCKET_TOKENS)
-    dealt = some.mapInArrow(bucketer(buckets), "bucket bigint, tokens binary, cls binary").repartition(max(partitions, buckets // 4), "bucket").sortWithinPartitions("bucket")
+    packed = rows.where("tokens IS NOT NULL").select("cls", "tokens").mapInArrow(bucketer(frequent, buckets), "bucket bigint, tokens binary, cls binary")
+    dealt = packed.repartition(max(partitions, buckets // 4), "bucket").sortWithinPartitions("bucket")
     posts = saved(dealt.mapInArrow(shared_tokens, "token bigint, cls bigint"), "postings")
 
-    ends = posts.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
-    leads = posts.join(ends, "token").select("cls", F.explode(F.array("lo", "hi")).alias("g")).where("cls <> g").groupBy("cls", "g").agg(F.count(F.lit(1)).alias("k"))
-    leads = leads.join(classes.select("cls", "n"), "cls").where(F.col("k") * 16 >= F.col("n"))
-    best = F.row_number().over(W.partitionBy("cls").orderBy(F.desc("k"), "g"))
-    first = saved(leads.withColumn("place", best).where("place <= 2").select("g", "cls"), "first-queries")
-    stars = first.select(F.col("g").alias("cls")).distinct()
-    known = saved(whole_sets(texts, first.select("cls").unionByName(stars).distinct().join(classes.select("cls", "doc"), "cls")), "first-sets")
-    found = saved(links(known, stars.select(F.col("cls").alias("g"), "cls"), first), "first-links")
-    comps = components(found)
-
-    nodes = posts.select("cls").distinct().join(classes.select("cls", "n", "low"), "cls").join(comps, F.col("cls") == F.col("node"), "left").drop("node")
-    beyond = F.col("n") - F.greatest("low", F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1)
-    nodes = nodes.withColumn("comp", F.coalesce("comp", "cls")).withColumn("beyond", beyond).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))))
-    nodes = saved(nodes.withColumn("home", F.xxhash64("comp", "band")).drop("band"), "nodes")
-    count = nodes.count()
-    sizes = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    homes = nodes.groupBy("home").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > GROUP)
-    sized = attach_groups(nodes, sizes, "comp", "size", count).withColumn("size", F.coalesce("_group.size", F.lit(1))).drop("_group")
-    sized = saved(sized, "sized")
-    parted = attach_groups(sized, homes, "home", "members", count).withColumn("parts", F.coalesce(F.ceil(F.col("_group.members") / GROUP), F.lit(1)))
-    nodes = saved(parted.withColumn("g", F.xxhash64("home", F.pmod(F.xxhash64("cls"), "parts"))).drop("parts", "home", "_group"), "members")
-    groups = nodes.groupBy("g", F.col("comp").alias("g_comp"), F.col("size").alias("g_size")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("low")).alias("rest"), F.max("beyond").alias("g_beyond"))
-    matrix = posts.join(nodes.select("cls", "g"), "cls").select("token", "g").distinct().join(groups, "g")
-    ask = posts.join(nodes.select("cls", "n", "low", "beyond", "comp", "size"), "cls")
-    apart = (F.col("comp") != F.col("g_comp")) & (F.struct("size", "comp") < F.struct("g_size", "g_comp"))
-    fits = (F.col("most") * 4 >= F.col("n") * 3) & (F.col("least") * 3 <= F.col("n") * 4)
-    k = ask.join(matrix, "token").where(apart & fits).groupBy("cls", "g", "n", "low", "beyond", "least", "rest", "g_beyond").agg(F.count(F.lit(1)).alias("k"))
-    smallest = F.greatest("least", F.ceil(F.col("n") * 3 / 4))
-    elsewhere = F.least(F.col("n") - F.col("low"), F.col("rest"), F.greatest("beyond", "g_beyond"))
-    need = F.ceil((F.col("n") + smallest) * 3 / 7 - 1e-9) - elsewhere
-    second = saved(k.where(F.col("k") >= need).select("g", "cls"), "second-queries")
-    opened = nodes.select("g", "cls").join(second.select("g").distinct(), "g")
-    more = second.select("cls").unionByName(opened.select("cls")).distinct().join(known.select("cls"), "cls", "left_anti")
-    more = saved(more.join(classes.select("cls", "doc"), "cls"), "second-wanted")
-    if more.limit(1).count():
-        known = known.unionByName(saved(whole_sets(texts, more), "second-sets"))
-    if second.limit(1).count():
-        comps = components(found.unionByName(links(known, opened, second)))
-
-    joined = classes.join(comps, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "cls"))
-    low = comps.join(classes, F.col("cls") == F.col("node")).groupBy("comp").agg(F.min("doc").alias("component_id"))
-    groups = joined.where("copies > 1 OR node IS NOT NULL").join(low, "comp", "left").select("cls", "copies", F.coalesce("component_id", "doc").alias("component_id"))
-    slim, groups = rows.select("doc_id", "n", "cls"), saved(groups, "set-groups")
+    nodes = posts.select("cls").distinct().join(classes.select("cls", "n"), "cls").withColumn("comp", F.col("cls")).withColumn("home", F.lit(None).cast("long"))
+    nodes, known = contracted(rows, classes, posts, saved(nodes, "nodes"))
+    members = grouped(nodes)
+    pairs = group_pairs(posts, members)
+    asks = members.select("cls", "comp", F.col("g").alias("asks"))
+    queries = saved(pairs.join(asks, "asks").select("g", "cls", "comp"), "group-queries")
+    if queries.limit(1).count():
+        opened = members.select("g", "cls", "comp").join(pairs.select("g").distinct(), "g", "left_semi")
+        known = more_sets(rows, classes, known, queries.select("cls").unionByName(opened.select("cls")).distinct())
+        found = saved(links(known, opened, queries), "found")
+        if found.limit(1).count():
+            nodes = merged(nodes, found)
+
+    joined = saved(classes.join(nodes.select("cls", F.col("comp").alias("node")), "cls", "left").select("cls", "copies", "first", F.coalesce("node", "cls").alias("comp")), "class-components")
+    low = joined.groupBy("comp").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    whole = attach_groups(joined, low, "comp", "size", joined.count())
+    groups = saved(whole.where("copies > 1 OR _group IS NOT NULL").select("cls", "copies", F.coalesce("_group.component_id", "first").alias("component_id")), "set-groups")
+    slim = rows.select("doc_id", "n", "cls")
     x = attach_groups(slim, groups, "cls", "copies", slim.count())
     return x.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_group.component_id", "doc_id").alias("component_id"))
 
