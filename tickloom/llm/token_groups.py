@@ -4,7 +4,7 @@ Shingles are 64-bit hashes (two texts with tens of thousands of words meet by ch
 sets are one class from the start. Tokens are ordered by frequency, as a sketch of all sets counts it (rare ones by hash alone); a class's prefix has its first
 n - ceil(0.75 n) + 1 tokens, so linked classes share a prefix token, and of what x and y share at most max(|x|, |y| beyond their prefixes) stays out of sight. Then:
 
-1. Rounds of contraction: each class is led to the classes that come first and last, by a hash of the round, among those with one of its prefix
+1. Rounds of contraction, for tokens that many classes share: each class is led to the class that comes first, by a hash of the round, among those with one of its prefix
    tokens, and compared with those of other components that it is led to most often and whose sketch is like its own; links join components. Rounds end when few comparisons still find a link.
 2. Classes that share their component, or the component of the class they were led to most often, and have like size form groups of about GROUP members. The token-group
    matrix holds the union of a group's prefix tokens, for tokens that still meet in several components. Groups are bounded against groups: a pair is opened only
@@ -36,14 +36,17 @@ from tickloom.llm import textscan
 from tickloom.llm.shared import attach_groups, lean, saved, with_row_key
 
 SHINGLE = 5
-#: Cells of the frequency sketch, in blocks that tasks send; a token is frequent if its cell counts at least FREQUENT and twice the mean.
+#: Cells of the frequency sketch, in blocks that tasks send; a token is frequent if its cell counts at least FREQUENT, and more than tokens that occur once would explain.
 CELL_BITS, CELL_BLOCK, FREQUENT = 21, 4096, 32
 GROUP, BAND, SALT = 48, 1.1, 64
 BUCKET_TOKENS = 500_000
+#: Contraction is for tokens of HOT or more classes, where pairs would be many; it has at most ROUNDS rounds.
+HOT, ROUNDS = 32, 4
+LEAD_COLUMNS = [f"lead{turn}" for turn in range(ROUNDS)]
 #: Contraction compares a class with up to LEADS others whose SKETCH least tokens let a similarity of LIKELY be expected.
 LEADS, SKETCH, LIKELY = 4, 24, 0.6
 #: Contraction ends with a round that found no more than one link in so many comparisons.
-FRUITLESS = 10
+FRUITLESS = 5
 
 
 def legal(n: np.ndarray | int):
@@ -123,7 +126,8 @@ def frequencies(sets: DataFrame) -> np.ndarray:
     for block, counts in zip(added.column("block").to_pylist(), added.column("counts").to_pylist(), strict=True):
         table[block] = np.frombuffer(counts, np.uint32)
     table = table.ravel()
-    return np.where(table >= max(FREQUENT, 2 * float(table.mean())), table, np.uint32(0))
+    mean = float(table.mean())
+    return np.where(table >= max(FREQUENT, mean + 5 * mean**0.5), table, np.uint32(0))
 
 
 def bucketer(frequent, buckets: int, flush: int = 1_000_000) -> Callable:
@@ -163,7 +167,7 @@ def bucketer(frequent, buckets: int, flush: int = 1_000_000) -> Callable:
 
 
 def shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket (rows sorted by bucket), the postings (token, cls) of tokens with several classes."""
+    """Of each bucket (rows sorted by bucket), the postings (token, cls) of tokens with several classes; of tokens with HOT or more, the class that comes first in each round."""
     now, held = None, []
 
     def postings() -> pa.RecordBatch:
@@ -173,10 +177,21 @@ def shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         new = np.ones(len(tokens), bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (cls[1:] != cls[:-1])
         tokens, cls = tokens[new], cls[new]
-        same = np.zeros(len(tokens), bool)
-        same[1:] = tokens[1:] == tokens[:-1]
-        same[:-1] |= same[1:].copy()
-        return pa.RecordBatch.from_arrays([pa.array(tokens[same]), pa.array(cls[same])], names=["token", "cls"])
+        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        sizes = np.diff(np.append(starts, len(tokens)))
+        each = np.repeat(sizes, sizes)
+        tokens, cls, each = tokens[each > 1], cls[each > 1], each[each > 1]
+        hot = each >= HOT
+        columns = [pa.array(tokens), pa.array(cls)]
+        starts, sizes = np.flatnonzero(np.concatenate([[True], tokens[hot][1:] != tokens[hot][:-1]])) if hot.any() else [], sizes[sizes >= HOT]
+        for turn in range(ROUNDS):
+            lead = np.zeros(len(tokens), np.int64)
+            if len(sizes):
+                places = textscan.mixed(cls[hot].view(np.uint64) + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+                first = np.repeat(np.minimum.reduceat(places, starts), sizes)
+                lead[hot] = np.repeat(cls[hot][places == first], sizes)
+            columns.append(pa.array(lead, mask=~hot))
+        return pa.RecordBatch.from_arrays(columns, names=["token", "cls", *LEAD_COLUMNS])
 
     for batch in batches:
         for bucket, tokens, cls in zip(*(batch.column(k).to_pylist() for k in ("bucket", "tokens", "cls")), strict=True):
@@ -320,45 +335,37 @@ def merged(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return saved(relabelled(nodes, components(edges.select(F.col("_u").alias("u"), F.col("_v").alias("v")))), "nodes")
 
 
-def meeting(posts: DataFrame, nodes: DataFrame, *extra) -> tuple[DataFrame, DataFrame]:
-    """Postings with the columns of their class, and of tokens that meet in several components the extra aggregates."""
-    meet = posts.join(nodes, "cls")
-    ends = meet.groupBy("token").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), *extra).where("_a <> _b").drop("_a", "_b")
-    return meet, ends
-
-
 def contracted(rows: DataFrame, classes: DataFrame, posts: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """nodes after rounds of contraction, with the class they were led to first in `home`, and the sets known by then."""
-    known, turn, sketches = None, 0, classes.select("cls", "least")
-    while True:
-        turn += 1
-        place = F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("g"), F.col("comp").alias("g_comp"))
-        meet, ends = meeting(posts, nodes.select("cls", "comp"), F.min(place).alias("lo"), F.max(place).alias("hi"))
-        leads = meet.join(ends, "token").select("cls", "comp", F.explode(F.array("lo", "hi")).alias("end")).where("comp <> end.g_comp")
-        leads = leads.groupBy("cls", "comp", F.col("end.g").alias("g"), F.col("end.g_comp").alias("g_comp")).agg(F.count(F.lit(1)).alias("k"))
-        best = F.row_number().over(W.partitionBy("cls").orderBy(F.desc("k"), "g"))
-        leads = leads.withColumn("place", best).where(F.col("place") <= LEADS).join(sketches, "cls").join(sketches.select(F.col("cls").alias("g"), F.col("least").alias("g_least")), "g")
+    known, sketches, place = None, classes.select("cls", "least"), F.row_number().over(W.partitionBy("cls").orderBy(F.desc("k"), "g"))
+    for turn in LEAD_COLUMNS:
+        leads = posts.where(F.col(turn) != F.col("cls")).select("cls", F.col(turn).alias("g")).groupBy("cls", "g").agg(F.count(F.lit(1)).alias("k"))
+        of = nodes.select("cls", "comp")
+        leads = leads.join(of, "cls").join(of.select(F.col("cls").alias("g"), F.col("comp").alias("g_comp")), "g").where("comp <> g_comp")
+        leads = leads.withColumn("place", place).where(F.col("place") <= LEADS).join(sketches, "cls").join(sketches.select(F.col("cls").alias("g"), F.col("least").alias("g_least")), "g")
         asked = saved(leads.where(alike("least", "g_least") >= LIKELY).select("g", "g_comp", "cls", "comp", "place"), "queries")
+        n_asked = asked.count()
+        if not n_asked:
+            break
         stars = asked.select(F.col("g").alias("cls"), F.col("g_comp").alias("comp")).distinct()
         known = more_sets(rows, classes, known, asked.select("cls").unionByName(stars.select("cls")).distinct())
         found = saved(links(known, stars.select(F.col("cls").alias("g"), "cls", "comp"), asked.select("g", "cls", "comp")), "found")
         led = asked.groupBy(F.col("cls").alias("_cls")).agg(F.min_by("g", "place").alias("_lead"))
-        nodes = nodes.join(led, F.col("cls") == F.col("_cls"), "left").withColumn("home", F.coalesce("home", "_lead")).drop("_cls", "_lead")
-        nodes, n_asked, n_found = saved(nodes, "nodes"), asked.count(), found.count()
+        nodes = saved(nodes.join(led, F.col("cls") == F.col("_cls"), "left").withColumn("home", F.coalesce("home", "_lead")).drop("_cls", "_lead"), "nodes")
+        n_found = found.count()
         if n_found:
             nodes = merged(nodes, found)
         if n_found * FRUITLESS <= n_asked:
-            return nodes, known
+            break
+    return nodes, known
 
 
 def grouped(nodes: DataFrame) -> DataFrame:
     """nodes with their group g: classes of a component, and those led to it, that are of like size, in parts of about GROUP."""
     of = nodes.select(F.col("cls").alias("_cls"), F.col("comp").alias("_comp"))
-    alone = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("_size")).where("_size = 1").select(F.col("comp").alias("_alone"))
-    x = nodes.join(of, F.col("home") == F.col("_cls"), "left").join(alone, F.col("comp") == F.col("_alone"), "left")
-    home = F.when(F.col("_alone").isNotNull(), F.coalesce("_comp", "comp")).otherwise(F.col("comp"))
-    x = x.withColumn("home", F.xxhash64(home, F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND)))))
-    x = saved(x.select(*nodes.columns), "homes")
+    x = nodes.join(of, F.col("home") == F.col("_cls"), "left")
+    home = F.when(F.col("comp") == F.col("cls"), F.coalesce("_comp", "comp")).otherwise(F.col("comp"))
+    x = saved(x.withColumn("home", F.xxhash64(home, F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))))).select(*nodes.columns), "homes")
     large = x.groupBy("home").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > GROUP)
     parted = attach_groups(x, large, "home", "members", x.count()).withColumn("parts", F.coalesce(F.ceil(F.col("_group.members") / GROUP), F.lit(1)))
     return saved(parted.withColumn("g", F.xxhash64("home", F.pmod(F.xxhash64("cls"), "parts"))).select("cls", "n", "comp", "g"), "members")
@@ -366,16 +373,22 @@ def grouped(nodes: DataFrame) -> DataFrame:
 
 def group_pairs(posts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (g, asks) of groups that may hold a link between components: members of `asks`, the smaller group, are to be compared with those of g."""
-    ids = F.struct(F.min("comp").alias("a"), F.max("comp").alias("b"))
-    groups = nodes.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), ids.alias("comps"), F.count(F.lit(1)).alias("members"))
-    meet, ends = meeting(posts, nodes.select("cls", "g", "comp"))
-    matrix = saved(meet.select("token", "g").distinct().join(ends, "token", "left_semi").join(groups, "g"), "matrix")
-    other = matrix.select("token", *[F.col(c).alias(f"o_{c}") for c in groups.columns])
-    one = (F.col("comps.a") == F.col("comps.b")) & (F.col("comps") == F.col("o_comps"))
+    one = F.when(F.min("comp") == F.max("comp"), F.min("comp"))
+    sizes = [F.min("n").cast("int").alias("least"), F.max("n").cast("int").alias("most")]
+    groups = saved(nodes.groupBy("g").agg(one.alias("own"), *sizes, F.count(F.lit(1)).alias("members")), "groups")
+    of = saved(nodes.select("cls", "g").join(groups.drop("members"), "g"), "group-of")
+    # Of each token its groups, if they aren't all of one component. own is null for groups of several.
+    matrix = posts.select("token", "cls").join(of, "cls").drop("cls").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token").distinct()
+    over = W.partitionBy("token")
+    several = F.max(F.col("own").isNull()).over(over) | (F.min("own").over(over) != F.max("own").over(over))
+    matrix = saved(matrix.withColumn("_several", several).where("_several").drop("_several"), "matrix")
+    other = matrix.select("token", *[F.col(c).alias(f"o_{c}") for c in ("g", "own", "least", "most")])
+    apart = F.coalesce(F.col("own") != F.col("o_own"), F.lit(True)) & ((F.col("g") < F.col("o_g")) | ((F.col("g") == F.col("o_g")) & F.col("own").isNull()))
     fits = (F.col("most") * 4 >= F.col("o_least") * 3) & (F.col("o_most") * 4 >= F.col("least") * 3)
-    key = ["g", "o_g", "least", "most", "o_least", "o_most", "members", "o_members"]
-    k = matrix.join(other, "token").where((F.col("g") <= F.col("o_g")) & ~one & fits).groupBy(*key).agg(F.count(F.lit(1)).alias("k"))
-    k = k.where(F.col("k") >= fewest_shared("least", "most", "o_least", "o_most"))
+    k = matrix.join(other, "token").where(apart & fits).groupBy("g", "o_g", "least", "most", "o_least", "o_most").agg(F.count(F.lit(1)).alias("k"))
+    k = saved(k.where(F.col("k") >= fewest_shared("least", "most", "o_least", "o_most")).select("g", "o_g"), "near-groups")
+    of = groups.select("g", "members")
+    k = k.join(of, "g").join(of.select(F.col("g").alias("o_g"), F.col("members").alias("o_members")), "o_g")
     swap = F.col("members") < F.col("o_members")
     return saved(k.select(F.when(swap, F.col("o_g")).otherwise(F.col("g")).alias("g"), F.when(swap, F.col("g")).otherwise(F.col("o_g")).alias("asks")), "group-pairs")
 
@@ -393,7 +406,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     buckets = max(4 * partitions, total // BUCKET_TOKENS)
     packed = rows.where("tokens IS NOT NULL").select("cls", "tokens").mapInArrow(bucketer(frequent, buckets), "bucket bigint, tokens binary, cls binary")
     dealt = packed.repartition(max(partitions, buckets // 4), "bucket").sortWithinPartitions("bucket")
-    posts = saved(dealt.mapInArrow(shared_tokens, "token bigint, cls bigint"), "postings")
+    posts = saved(dealt.mapInArrow(shared_tokens, ", ".join(f"{c} bigint" for c in ("token", "cls", *LEAD_COLUMNS))), "postings")
 
     nodes = posts.select("cls").distinct().join(classes.select("cls", "n"), "cls").withColumn("comp", F.col("cls")).withColumn("home", F.lit(None).cast("long"))
     nodes, known = contracted(rows, classes, posts, saved(nodes, "nodes"))
