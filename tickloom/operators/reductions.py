@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,11 +18,24 @@ def reduce_ticks(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("instrument").agg(total(p).alias("price_sum"), largest(p).alias("price_max"), dot(p, v).alias("price_dot_volume"), F.count(F.lit(1)).alias("n"))
 
 
+def _standard(x: Column, mean: Column, sd: Column) -> Column:
+    """A deviation within the rounding of the mean is no spread."""
+    return F.when(~F.isnan(sd) & (sd <= 1e-15 * F.abs(mean)), 0.0).otherwise(F.try_divide(x - mean, sd))
+
+
 def zscore(x: Column, *keys: str) -> Column:
-    """Against the whole series; 0 where it has no spread."""
+    """Against the whole series; 0 where it has no spread. One window over the series: with_zscore is for long ones."""
     every = W.partitionBy("instrument", *keys)
     mean, sd = F.avg(x).over(every), F.stddev_pop(x).over(every)
-    return F.when(sd == 0, 0.0).otherwise(F.try_divide(x - mean, sd))
+    return _standard(x, mean, sd)
+
+
+def with_zscore(ticks: DataFrame, x: str, name: str, *keys: str) -> DataFrame:
+    """The same as a column: moments are aggregated before the shuffle and come back by a join, so no series is moved to one task."""
+    by = ["instrument", *keys]
+    moments = ticks.groupBy(*[F.col(k).alias(f"_tl_{k}") for k in by]).agg(F.avg(x).alias("_tl_mean"), F.stddev_pop(x).alias("_tl_sd"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_tl_{k}")) for k in by])
+    return ticks.join(moments, same).withColumn(name, _standard(F.col(x), F.col("_tl_mean"), F.col("_tl_sd"))).drop(*[f"_tl_{k}" for k in by], "_tl_mean", "_tl_sd")
 
 
 def value_runs(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,51 +63,56 @@ def fold_ema(ticks: DataFrame, column: str, alpha: float, name: str) -> DataFram
     return out.select("instrument", *[F.col(f"z.rows.row.{c}").alias(c) for c in rest], F.col("z.y").alias(name))
 
 
+def numbers(rows: pa.Table, column: str) -> np.ndarray:
+    """A column as doubles; null is NaN. (Arrow, unlike pandas, tells NaN from null on the way back.)"""
+    return rows.column(column).cast(pa.float64()).to_numpy().astype(float)
+
+
 def with_ema(ticks: DataFrame, column: str, alpha: float, name: str, size: int = 65_536, first: str = "value") -> DataFrame:
     """ticks with the exponential average of a column. first: "value" starts at the first value, "zero" at 0 before it."""
     check_alpha(alpha)
     keep = 1.0 - alpha
-    numbered = saved(row_numbers(ticks).withColumn("_chunk", F.floor(F.col("rn") / size)), "numbered")
-    own = T.StructType([*numbered.schema.fields, T.StructField("_local", T.DoubleType())])
-
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rn")
-        x = rows[column].to_numpy(float)
-        start = x[0] if first == "value" and len(x) and rows["_chunk"].iloc[0] == 0 else 0.0
-        return rows.assign(_local=affine_scan(x, alpha, start))
-
-    local = numbered.groupBy("instrument", "_chunk").applyInPandas(scan, own)
-    if numbered.agg(F.max("_chunk")).first()[0] in (None, 0):
-        return local.withColumnRenamed("_local", name).drop("rn", "_chunk")
+    numbered = saved(row_numbers(ticks, "_tl_rn").withColumn("_tl_chunk", F.floor(F.col("_tl_rn") / size)), "numbered")
+    own = T.StructType([*numbered.schema.fields, T.StructField("_tl_local", T.DoubleType())])
+
+    def scan(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_tl_rn")
+        x = numbers(rows, column)
+        start = x[0] if first == "value" and len(x) and rows.column("_tl_chunk")[0].as_py() == 0 else 0.0
+        return rows.append_column("_tl_local", pa.array(affine_scan(x, alpha, start)))
+
+    local = numbered.groupBy("instrument", "_tl_chunk").applyInArrow(scan, own)
+    if numbered.agg(F.max("_tl_chunk")).first()[0] in (None, 0):
+        return local.withColumnRenamed("_tl_local", name).drop("_tl_rn", "_tl_chunk")
     local = saved(local, "chunks")
-    ends = local.groupBy("instrument", "_chunk").agg(F.max_by("_local", "rn").alias("end"), F.count(F.lit(1)).alias("n"))
+    ends = local.groupBy("instrument", "_tl_chunk").agg(F.max_by("_tl_local", "_tl_rn").alias("end"), F.count(F.lit(1)).alias("n"))
 
     def carry(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_chunk")
+        rows = rows.sort_values("_tl_chunk")
         out, y = [], 0.0
         for end, n in zip(rows["end"], rows["n"], strict=True):
             out.append(y)
             y = end + keep**n * y
-        return pd.DataFrame({"instrument": rows["instrument"], "_chunk": rows["_chunk"], "_carry": out})
+        return pd.DataFrame({"instrument": rows["instrument"], "_tl_chunk": rows["_tl_chunk"], "_tl_carry": out})
 
-    carried = ends.groupBy("instrument").applyInPandas(carry, "instrument string, _chunk bigint, _carry double")
-    joined = local.join(carried.withColumnRenamed("instrument", "_i").withColumnRenamed("_chunk", "_c"), F.col("instrument").eqNullSafe(F.col("_i")) & (F.col("_chunk") == F.col("_c")))
-    decay = F.pow(F.lit(keep), F.col("rn") % size + 1)
-    return joined.withColumn(name, F.col("_local") + decay * F.col("_carry")).drop("rn", "_chunk", "_local", "_carry", "_i", "_c")
+    carried = ends.groupBy("instrument").applyInPandas(carry, "instrument string, _tl_chunk bigint, _tl_carry double")
+    joined = local.join(carried.withColumnRenamed("instrument", "_tl_i").withColumnRenamed("_tl_chunk", "_tl_c"), F.col("instrument").eqNullSafe(F.col("_tl_i")) & (F.col("_tl_chunk") == F.col("_tl_c")))
+    decay = F.pow(F.lit(keep), F.col("_tl_rn") % size + 1)
+    return joined.withColumn(name, F.col("_tl_local") + decay * F.col("_tl_carry")).drop("_tl_rn", "_tl_chunk", "_tl_local", "_tl_carry", "_tl_i", "_tl_c")
 
 
 def batch_scan(batches: DataFrame, steps: dict[str, tuple[str, float, str]]) -> DataFrame:
     """Exponential averages that begin anew in each (instrument, batch): name -> (column, alpha, first)."""
     schema = T.StructType([*batches.schema.fields, *[T.StructField(n, T.DoubleType()) for n in steps]])
 
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(ORDER))
+    def scan(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in ORDER])
         for name, (column, alpha, first) in steps.items():
-            x = rows[column].to_numpy(float)
-            rows[name] = affine_scan(x, alpha, x[0] if first == "value" else 0.0)
+            x = numbers(rows, column)
+            rows = rows.append_column(name, pa.array(affine_scan(x, alpha, x[0] if first == "value" else 0.0)))
         return rows
 
-    return batches.groupBy("instrument", "batch").applyInPandas(scan, schema)
+    return batches.groupBy("instrument", "batch").applyInArrow(scan, schema)
 
 
 def online(values: Iterator[float], w: int) -> Iterator[float]:

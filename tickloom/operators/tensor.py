@@ -25,13 +25,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def softmax(x: Column) -> Column:
     """Of each row, the largest entry subtracted first; an empty row stays empty."""
     raised = lambda m: F.transform(x, lambda v: F.exp(v - m))
-    return let(F.array_max(x), lambda m: let(raised(m), lambda e: let(_sum(e), lambda s: F.transform(e, lambda v: v / s))))
+    return let(F.array_max(x), lambda m: let(raised(m), lambda e: let(_sum(e), lambda s: F.transform(e, lambda v: F.try_divide(v, s)))))
 
 
 def layernorm(x: Column, eps: float = 1e-5) -> Column:
-    """Of each row, with population variance; no gain or bias."""
-    spread = lambda d: F.sqrt(_sum(F.transform(d, lambda v: v * v)) / F.size(d) + eps)
-    return let(_sum(x) / F.size(x), lambda m: let(F.transform(x, lambda v: v - m), lambda d: let(spread(d), lambda s: F.transform(d, lambda v: v / s))))
+    """Of each row, with population variance; no gain or bias; an empty row stays empty."""
+    n = F.nullif(F.size(x), F.lit(0))
+    spread = lambda d: F.sqrt(_sum(F.transform(d, lambda v: v * v)) / n + eps)
+    whole = let(_sum(x) / n, lambda m: let(F.transform(x, lambda v: v - m), lambda d: let(spread(d), lambda s: F.transform(d, lambda v: v / s))))
+    return F.when(F.size(x) == 0, x).otherwise(whole)
 
 
 def gelu_row(x: Column) -> Column:

@@ -13,16 +13,34 @@ def ticks(key: str = "event_type") -> str:
   WINDOW w AS (PARTITION BY instrument ORDER BY ts_ns, ord))"""
 
 
+NAN, INF = "'nan'::DOUBLE", "'inf'::DOUBLE"
+
+
+def div(x: str, y: str) -> str:
+    """x / y by IEEE rules."""
+    return f"CASE WHEN ({y}) = 0 THEN CASE WHEN isnan({x}) OR ({x}) = 0 THEN {NAN} WHEN ({x}) > 0 THEN {INF} ELSE -{INF} END ELSE ({x}) / ({y}) END"
+
+
+def log(x: str) -> str:
+    return f"CASE WHEN ({x}) = 0 THEN -{INF} WHEN isnan({x}) OR ({x}) < 0 THEN {NAN} ELSE ln({x}) END"
+
+
+def deviation(x: str, over: str = "") -> str:
+    """Population deviation; NaN where a value isn't finite (DuckDB's own raises)."""
+    return f"CASE WHEN count(CASE WHEN NOT isfinite({x}) THEN 1 END) {over} > 0 THEN {NAN} ELSE stddev_pop(CASE WHEN isfinite({x}) THEN {x} END) {over} END"
+
+
 def rolled(w: int, keys: str = "instrument") -> str:
     """mean, std and vwap of the last w rows."""
     over = f"OVER (PARTITION BY {keys} ORDER BY rn ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
     full = f"count(*) {over} >= {w}"
-    return f"""CASE WHEN {full} THEN avg(price) {over} END AS mean, CASE WHEN {full} THEN stddev_pop(price) {over} END AS std,
+    return f"""CASE WHEN {full} THEN avg(price) {over} END AS mean, CASE WHEN {full} THEN {deviation('price', over)} END AS std,
   CASE WHEN {full} AND sum(volume) {over} > 0 THEN sum(price * volume) {over} / sum(volume) {over} END AS vwap"""
 
 
 def r(x: str, digits: int = 6) -> str:
-    return f"round({x}, {digits}) + 0.0"
+    """Rounded; NaN as null."""
+    return f"CASE WHEN NOT isnan({x}) THEN CASE WHEN isinf({x}) THEN {x} ELSE round({x}, {digits}) + 0.0 END END"
 
 
 def features(w: int) -> str:
@@ -68,18 +86,21 @@ def mlp() -> str:
 def reports(key: str = "event_type", source: str = "t", head: bool = True) -> str:
     """CTE rep: all metrics, not rounded."""
     return (f"{ticks(key)}, " if head else "") + f"""
-s AS (SELECT *, ln(price / before) AS r, price / max(price) OVER (PARTITION BY instrument ORDER BY rn) - 1 AS dd, least(20, n // 2) AS w,
+m AS (SELECT *, {div('price', 'before')} AS ratio, max(CASE WHEN isnan(price) THEN -{INF} ELSE price END) OVER (PARTITION BY instrument ORDER BY rn) AS high,
   row_number() OVER (PARTITION BY instrument ORDER BY volume, ord) - 1 AS vi FROM {source}),
+s AS (SELECT *, {log('ratio')} AS r, {div('price', 'high')} - 1 AS dd, least(20, n // 2) AS w FROM m),
 q AS (SELECT instrument, max(volume) FILTER (vi = n // 2) AS median_volume, max(volume) FILTER (vi = floor(0.9 * (n - 1))) AS block_threshold FROM s GROUP BY instrument),
-a AS (SELECT instrument, max(n) AS rows, max(w) AS window_, arg_min(price, rn) AS first_, arg_max(price, rn) AS last_, min(price) AS min_, max(price) AS max_, avg(r) AS mu, stddev_pop(r) AS sd,
-  least(min(dd), 0.0) AS mdd, count(*) FILTER (r > 0) AS up, max(r) AS best, min(r) AS worst, sum(volume) AS total_volume, sum(price * volume) AS dollar_volume,
-  coalesce(sum(volume) FILTER (r > 0), 0) AS upv, coalesce(sum(volume) FILTER (r < 0), 0) AS downv, count(*) FILTER (volume >= block_threshold) AS block_days,
+a AS (SELECT instrument, max(n) AS rows, max(w) AS window_, arg_min(price, rn) AS first_, arg_max(price, rn) AS last_, 
+  CASE WHEN isnan(arg_min(price, rn)) THEN {NAN} ELSE min(price) END AS min_, CASE WHEN isnan(arg_min(price, rn)) THEN {NAN} ELSE max(price) FILTER (NOT isnan(price)) END AS max_, avg(r) AS mu, {deviation('r')} AS sd_,
+  least(coalesce(min(dd) FILTER (NOT isnan(dd)), {INF}), 0.0) AS mdd, count(*) FILTER (r > 0 AND NOT isnan(r)) AS up, max(r) FILTER (NOT isnan(r)) AS best, min(r) FILTER (NOT isnan(r)) AS worst, sum(volume) AS total_volume, sum(price * volume) AS dollar_volume,
+  coalesce(sum(volume) FILTER (r > 0 AND NOT isnan(r)), 0) AS upv, coalesce(sum(volume) FILTER (r < 0), 0) AS downv, count(*) FILTER (volume >= block_threshold) AS block_days,
   avg(price) FILTER (rn > n - w) AS latest_mean, sum(price * volume) FILTER (rn > n - w) AS pv, sum(volume) FILTER (rn > n - w) AS lv, any_value(median_volume) AS median_volume, any_value(block_threshold) AS block_threshold
   FROM s JOIN q USING (instrument) WHERE n >= 8 GROUP BY instrument),
-rep AS (SELECT instrument, rows, window_ AS "window", first_ AS "first", last_ AS "last", min_ AS "min", max_ AS "max", (last_ / first_ - 1) * 100 AS total_return_pct, mu * 252 * 100 AS ann_return_pct,
+d AS (SELECT *, CASE WHEN isnan(sd_) OR sd_ <= 1e-15 THEN 0 ELSE sd_ END AS sd FROM a),
+rep AS (SELECT instrument, rows, window_ AS "window", first_ AS "first", last_ AS "last", min_ AS "min", max_ AS "max", ({div('last_', 'first_')} - 1) * 100 AS total_return_pct, mu * 252 * 100 AS ann_return_pct,
   sd * sqrt(252) * 100 AS ann_vol_pct, CASE WHEN sd > 0 THEN mu * 252 / (sd * sqrt(252)) ELSE 0 END AS sharpe, mdd * 100 AS max_drawdown_pct, mu * 100 AS mean_daily_pct, up / (rows - 1) AS win_rate,
   best * 100 AS best_day_pct, worst * 100 AS worst_day_pct, total_volume / rows AS avg_volume, median_volume, total_volume, block_threshold, block_days, dollar_volume,
-  CASE WHEN upv + downv > 0 THEN upv / (upv + downv) ELSE 0 END AS up_volume_frac, upv - downv AS obv_last, CASE WHEN lv > 0 THEN pv / lv END AS latest_vwap, latest_mean FROM a)"""
+  CASE WHEN upv + downv > 0 THEN upv / (upv + downv) ELSE 0 END AS up_volume_frac, upv - downv AS obv_last, CASE WHEN lv > 0 THEN pv / lv END AS latest_vwap, latest_mean, upv + downv AS moved FROM d)"""
 
 
 def shown(names: list[str], digits: int, coarse: tuple = ()) -> str:
@@ -92,16 +113,17 @@ LIVE = ["first", "last", "min", "max", "total_return_pct", "ann_return_pct", "wi
 
 def live() -> str:
     patched = """l AS (SELECT instrument, ord, ts_ns, rn, n, before, CASE WHEN rn = n THEN price * 1.1 ELSE price END AS price, CASE WHEN rn = n THEN 50.0 ELSE volume END AS volume FROM t)"""
-    old = reports().replace("s AS (", "s0 AS (").replace("FROM s ", "FROM s0 ").replace("q AS (", "q0 AS (").replace("JOIN q ", "JOIN q0 ").replace("\na AS (", "\na0 AS (").replace("FROM a)", "FROM a0)").replace("rep AS (", "old AS (")
+    old = reports().replace("s AS (", "s0 AS (").replace("FROM s ", "FROM s0 ").replace("q AS (", "q0 AS (").replace("JOIN q ", "JOIN q0 ").replace("\na AS (", "\na0 AS (").replace("m AS (", "m0 AS (").replace("FROM m)", "FROM m0)").replace("\nd AS (", "\nd0 AS (").replace("FROM a)", "FROM a0)").replace("FROM d)", "FROM d0)").replace("rep AS (", "old AS (")
     return f"WITH {old}, {patched}, {reports(source='l', head=False)} SELECT instrument, " + ", ".join(f'{r(("old" if n in ("median_volume", "obv_last") else "rep") + "." + chr(34) + n + chr(34), 5)} AS "{n}"' for n in LIVE) + " FROM rep JOIN old USING (instrument)"
 
 
 def market() -> str:
     return f"""WITH RECURSIVE {ticks()}, b AS (SELECT *, (rn - 1) // 1000 AS batch, (rn - 1) % 1000 + 1 AS place FROM t),
-f AS MATERIALIZED (SELECT instrument, batch, place, price, {rolled(20, 'instrument, batch')}, coalesce(ln(price / lag(price) OVER (PARTITION BY instrument, batch ORDER BY rn)), 0) AS ret FROM b),
+f AS MATERIALIZED (SELECT instrument, batch, place, price, {rolled(20, 'instrument, batch')}, coalesce({log('ratio')}, 0) AS ret
+  FROM (SELECT *, {div('price', 'lag(price) OVER (PARTITION BY instrument, batch ORDER BY rn)')} AS ratio FROM b)),
 {recursion('e', 'f', 'instrument, batch', 'price', 0.08)},
-s AS MATERIALIZED (SELECT instrument, batch, place, CASE WHEN place >= 20 AND std > 1e-12 AND vwap IS NOT NULL
-  THEN greatest(-1, least(1, -0.35 * ((price - 0.5 * (mean + vwap)) / std) + 2000 * ret + 0.05 * CASE WHEN y >= mean THEN 1 ELSE -1 END)) ELSE 0 END::DOUBLE AS signal FROM f JOIN e USING (instrument, batch, place)),
+s AS MATERIALIZED (SELECT instrument, batch, place, CASE WHEN place >= 20 AND std > 1e-12 AND NOT isnan(std) AND vwap IS NOT NULL THEN CASE WHEN isnan(ret) THEN ret ELSE
+  greatest(-1, least(1, -0.35 * ((price - 0.5 * (mean + vwap)) / std) + 2000 * ret + 0.05 * CASE WHEN y >= mean AND NOT isnan(y) THEN 1 ELSE -1 END)) END ELSE 0 END::DOUBLE AS signal FROM f JOIN e USING (instrument, batch, place)),
 {recursion('x', 's', 'instrument, batch', 'signal', 0.02, 'zero')}
 SELECT instrument, batch, count(*) AS n, {r('sum(y * ((place - 1) % 17 + 1))', 5)} AS checksum FROM x GROUP BY instrument, batch"""
 
@@ -127,9 +149,9 @@ ORACLES = {
     "rolling_online_mean": f"WITH {ticks()} SELECT instrument, ord, {r('avg(price) OVER (PARTITION BY instrument ORDER BY rn ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)', 8)} AS mean FROM t",
     "rolling_by_batch": f"WITH {ticks()}, b AS (SELECT *, (rn - 1) // 256 AS batch FROM t), f AS (SELECT instrument, ord, batch, {rolled(20, 'instrument, batch')} FROM b) SELECT instrument, ord, batch, {r('mean', 8)} AS mean, {r('std', 8)} AS std, {r('vwap', 8)} AS vwap FROM f",
     "rolling_halo": features(20),
-    "returns_drawdown_obv": f"""WITH {ticks()} SELECT instrument, ord, {r('coalesce(ln(price / before), 0)')} AS ret, {r('price / max(price) OVER w - 1')} AS dd,
-  {r('sum(coalesce(sign(price - before), 0) * volume) OVER w')} AS obv FROM t WINDOW w AS (PARTITION BY instrument ORDER BY rn)""",
-    "zscore": f"WITH {ticks()} SELECT instrument, ord, {r('CASE WHEN stddev_pop(price) OVER w = 0 THEN 0 ELSE (price - avg(price) OVER w) / stddev_pop(price) OVER w END')} AS z FROM t WINDOW w AS (PARTITION BY instrument)",
+    "returns_drawdown_obv": f"""WITH {ticks()} SELECT instrument, ord, {r('ret')} AS ret, {r('dd')} AS dd, {r('obv')} AS obv FROM (SELECT instrument, ord, coalesce({log('ratio')}, 0) AS ret, {div('price', 'high')} - 1 AS dd, sum(flow) OVER w AS obv
+  FROM (SELECT *, {div('price', 'before')} AS ratio, CASE WHEN isnan(price - before) THEN 0 ELSE coalesce(sign(price - before), 0) END * volume AS flow, max(CASE WHEN isnan(price) THEN -{INF} ELSE price END) OVER w AS high FROM t WINDOW w AS (PARTITION BY instrument ORDER BY rn)) WINDOW w AS (PARTITION BY instrument ORDER BY rn))""",
+    "zscore": f"WITH {ticks()}, s AS (SELECT *, avg(price) OVER w AS mean, {deviation('price', 'OVER w')} AS sd FROM t WINDOW w AS (PARTITION BY instrument)) SELECT instrument, ord, {r('CASE WHEN sd = 0 THEN 0 ELSE (price - mean) / sd END')} AS z FROM s",
     "ema": ema(),
     "ema_chunked": ema(),
     "ema_folded": ema("user_id"),
@@ -159,6 +181,7 @@ SELECT instrument, ord, {r('f.vwap - y')} AS feature, {r('CASE WHEN g.std = 0 TH
     "replay_batches": f"WITH {ticks()} SELECT instrument, (rn - 1) // 500 AS batch, count(*) AS n, {r('sum(price)', 4)} AS price_sum FROM t GROUP BY 1, 2",
     "sequence_gaps": f"WITH {ticks()}, g AS (SELECT instrument, ord - lag(ord) OVER (PARTITION BY instrument ORDER BY ord) - 1 AS missing FROM t) SELECT instrument, count(*) AS n_gaps, sum(missing)::BIGINT AS n_missing FROM g WHERE missing <> 0 GROUP BY 1",
     "analytics_chain": f"""WITH RECURSIVE {ticks()}, src AS MATERIALIZED (SELECT instrument, rn AS place, price, ord FROM t), {recursion('e', 'src', 'instrument', 'price', 0.1)},
-z AS (SELECT instrument, place, y, CASE WHEN stddev_pop(y) OVER w = 0 THEN 0 ELSE (y - avg(y) OVER w) / stddev_pop(y) OVER w END AS z FROM e WINDOW w AS (PARTITION BY instrument))
-SELECT instrument, ord, {r('y')} AS ema, {r('z')} AS z, CASE WHEN z > 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS signal FROM z JOIN src USING (instrument, place)""",
+m AS (SELECT instrument, place, y, avg(y) OVER w AS mean, {deviation('y', 'OVER w')} AS sd FROM e WINDOW w AS (PARTITION BY instrument)),
+z AS (SELECT instrument, place, y, CASE WHEN sd = 0 THEN 0 ELSE (y - mean) / sd END AS z FROM m)
+SELECT instrument, ord, {r('y')} AS ema, {r('z')} AS z, CASE WHEN z > 1 AND NOT isnan(z) THEN 1.0 ELSE 0.0 END::DOUBLE AS signal FROM z JOIN src USING (instrument, place)""",
 }

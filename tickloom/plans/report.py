@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.display import display_key, region
-from tickloom.functions.ieee import ieee_log
+from tickloom.functions.ieee import NAN, ieee_div, largest, smallest, total
 from tickloom.operators.reductions import order_statistics
-from tickloom.operators.windows import row_numbers
-from tickloom.ticks import ORDER, in_order
+from tickloom.operators.windows import price_moves, rolling_features, row_numbers
+from tickloom.ticks import ORDER
 
 YEAR = 252.0
 LEAST_ROWS = 8
@@ -29,44 +28,49 @@ def candles(df: DataFrame) -> DataFrame:
     return df.where(F.col("close").isNotNull()).withColumn("volume", F.coalesce("volume", F.lit(0.0)))
 
 
-def analytics(ticks: DataFrame, longest: int = 20) -> DataFrame:
-    """One row per instrument with at least LEAST_ROWS ticks. The window of the latest mean and vwap is min(longest, n div 2)."""
-    o = in_order()
-    p, v = F.col("price"), F.col("volume")
-    last_rows = in_order().rowsBetween(W.unboundedPreceding, 0)
-    x = ticks.withColumn("r", ieee_log(p / F.lag(p).over(o))).withColumn("dd", p / F.max(p).over(last_rows) - 1.0)
-    x = x.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("instrument"))).withColumn("back", F.col("n") - F.row_number().over(o) + 1)
+def _unless_first(first: Column, value: Column) -> Column:
+    """The value, but NaN where the series begins with NaN."""
+    return F.when(F.isnan(first), F.lit(NAN)).otherwise(value)
+
+
+def _metrics(ticks: DataFrame, longest: int) -> DataFrame:
+    """All metrics, and _moved: the volume of the rows whose price moved. NaN is neither up nor down, nor an extreme."""
+    p, v, r = F.col("price"), F.col("volume"), F.col("ret")
+    counts = ticks.groupBy(F.col("instrument").alias("_of")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_ROWS)
+    x = price_moves(ticks.select("instrument", *ORDER, "price", "volume")).join(counts, F.col("instrument").eqNullSafe(F.col("_of"))).drop("_of")
     x = x.withColumn("w", F.least(F.lit(longest), F.floor(F.col("n") / 2)))
-    x = x.where(F.col("n") >= LEAST_ROWS)
-    r, key, late = F.col("r"), F.struct(*ORDER), F.col("back") <= F.col("w")
-    up, down = F.sum(F.when(r > 0, v).otherwise(0.0)), F.sum(F.when(r < 0, v).otherwise(0.0))
+    key, late = F.struct(*ORDER), F.col("n") - F.col("_tl_rn") <= F.col("w")
+    known = ~F.isnan(r)
+    up, down = F.sum(F.when(known & (r > 0), v).otherwise(0.0)), F.sum(F.when(known & (r < 0), v).otherwise(0.0))
     sums = x.groupBy("instrument").agg(
         F.max("n").alias("rows"),
         F.max("w").alias("window"),
         F.min_by(p, key).alias("first"),
         F.max_by(p, key).alias("last"),
-        F.min(p).alias("min"),
-        F.max(p).alias("max"),
+        smallest(p).alias("_min"),
+        largest(p).alias("_max"),
         F.avg(r).alias("_mu"),
         F.stddev_pop(r).alias("_sd"),
-        F.least(F.min("dd"), F.lit(0.0)).alias("_mdd"),
-        F.count_if(r > 0).alias("_up"),
-        F.max(r).alias("_best"),
-        F.min(r).alias("_worst"),
-        F.sum(v).alias("total_volume"),
-        F.sum(p * v).alias("dollar_volume"),
+        F.least(smallest(F.col("dd")), F.lit(0.0)).alias("_mdd"),
+        F.count_if(known & (r > 0)).alias("_up"),
+        F.max(F.when(known, r)).alias("_best"),
+        F.min(F.when(known, r)).alias("_worst"),
+        total(v).alias("total_volume"),
+        total(p * v).alias("dollar_volume"),
         up.alias("_upv"),
         down.alias("_downv"),
         F.avg(F.when(late, p)).alias("latest_mean"),
         F.sum(F.when(late, p * v)).alias("_pv"),
         F.sum(F.when(late, v)).alias("_v"),
     )
-    # The deviation of equal returns is noise of rounding, not risk.
-    sd = F.when(F.col("_sd") > 1e-15, F.col("_sd")).otherwise(0.0)
+    # The deviation of equal returns is noise of rounding, not risk; without a finite one there is no telling.
+    sd = F.when(~F.isnan("_sd") & (F.col("_sd") > 1e-15), F.col("_sd")).otherwise(0.0)
     both = F.col("_upv") + F.col("_downv")
     out = sums.join(order_statistics(ticks), "instrument")
     derived = {
-        "total_return_pct": (F.col("last") / F.col("first") - 1) * 100,
+        "min": _unless_first(F.col("first"), F.col("_min")),
+        "max": _unless_first(F.col("first"), F.col("_max")),
+        "total_return_pct": (ieee_div(F.col("last"), F.col("first")) - 1) * 100,
         "ann_return_pct": F.col("_mu") * YEAR * 100,
         "ann_vol_pct": sd * math.sqrt(YEAR) * 100,
         "sharpe": F.when(sd > 0, F.col("_mu") * YEAR / (F.nullif(sd, F.lit(0.0)) * math.sqrt(YEAR))).otherwise(0.0),
@@ -79,24 +83,31 @@ def analytics(ticks: DataFrame, longest: int = 20) -> DataFrame:
         "up_volume_frac": F.when(both > 0, F.col("_upv") / F.nullif(both, F.lit(0.0))).otherwise(0.0),
         "obv_last": F.col("_upv") - F.col("_downv"),
         "latest_vwap": F.when(F.col("_v") > 0, F.col("_pv") / F.nullif(F.col("_v"), F.lit(0.0))),
+        "_moved": both,
     }
-    return out.withColumns(derived).select("instrument", "rows", "window", *METRICS)
+    return out.withColumns(derived).select("instrument", "rows", "window", *METRICS, "_moved")
+
+
+def analytics(ticks: DataFrame, longest: int = 20) -> DataFrame:
+    """One row per instrument with at least LEAST_ROWS ticks. The window of the latest mean and vwap is min(longest, n div 2)."""
+    return _metrics(ticks, longest).drop("_moved")
 
 
-def live_update(ticks: DataFrame, report: DataFrame, quotes: DataFrame) -> DataFrame:
+def live_update(ticks: DataFrame, report: DataFrame, quotes: DataFrame, longest: int = 20) -> DataFrame:
     """The report after quotes (instrument, price, volume) have replaced the last close, and the last volume where it is above 0.
 
     Metrics in NOT_LIVE keep their values, the up share too where nothing moved; without volume the latest vwap is the price.
     """
     q = quotes.select("instrument", F.col("price").alias("_price"), F.col("volume").alias("_volume"))
-    last = F.row_number().over(W.partitionBy("instrument").orderBy(*[F.desc(c) for c in ORDER])) == 1
-    patched = ticks.withColumn("_last", last).join(q, "instrument")
-    patched = patched.withColumn("price", F.when(F.col("_last"), F.col("_price")).otherwise(F.col("price")))
-    patched = patched.withColumn("volume", F.when(F.col("_last") & (F.col("_volume") > 0), F.col("_volume")).otherwise(F.col("volume"))).drop("_last", "_price", "_volume")
-    fresh = analytics(patched).alias("fresh")
+    ends = ticks.groupBy("instrument").agg(F.max(F.struct(*ORDER)).alias("_end"))
+    patched = ticks.select("instrument", *ORDER, "price", "volume").join(ends.join(q, "instrument"), "instrument")
+    last = F.struct(*ORDER) == F.col("_end")
+    patched = patched.withColumn("price", F.when(last, F.col("_price")).otherwise(F.col("price")))
+    patched = patched.withColumn("volume", F.when(last & (F.col("_volume") > 0), F.col("_volume")).otherwise(F.col("volume"))).drop("_end", "_price", "_volume")
     old = report.select("instrument", *[F.col(c).alias(f"_{c}") for c in (*NOT_LIVE, "up_volume_frac")])
-    x = fresh.join(old, "instrument").join(q, "instrument")
+    x = _metrics(patched, longest).join(old, "instrument").join(q, "instrument")
     x = x.withColumns({c: F.col(f"_{c}") for c in NOT_LIVE})
+    x = x.withColumn("up_volume_frac", F.when(F.col("_moved") > 0, F.col("up_volume_frac")).otherwise(F.col("_up_volume_frac")))
     x = x.withColumn("latest_vwap", F.coalesce("latest_vwap", "_price"))
     return x.select("instrument", "rows", "window", *METRICS)
 
@@ -186,11 +197,34 @@ def downsample(ticks: DataFrame, points: int = 120) -> DataFrame:
     return x.join(strides, F.col("instrument").eqNullSafe(F.col("_of"))).where(F.col("rn") % F.col("_stride") == 0).drop("_of", "_stride", "rn")
 
 
-def report_json(report: DataFrame) -> DataFrame:
-    """One JSON object per instrument; NaN and infinities as null."""
-    safe = lambda c: F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")), F.col(c))
-    stats = F.struct(*[safe(c).alias(c) for c in METRICS])
-    whole = F.to_json(F.struct(F.col("instrument").alias("ticker"), "rows", "window", stats.alias("stats")), {"ignoreNullFields": "false"})
-    return report.select("instrument", whole.alias("json"))
-
+def series(ticks: DataFrame, report: DataFrame, points: int = 120) -> DataFrame:
+    """Per instrument of the report its down-sampled price, rolling mean and vwap (null before the window is full) and volume: every max(1, rows div points)-th value, as arrays.
 
+    The window is the report's. Only the rows that are kept are gathered, fewer than 2 * points an instrument.
+    """
+    sizes = report.select(F.col("instrument").alias("_of"), F.col("window").cast("int").alias("_w"), F.greatest(F.lit(1), F.floor(F.col("rows") / points)).alias("_stride"))
+    out = None
+    for row in sizes.select("_w").distinct().collect():  # one window size, or a few
+        some = sizes.where(F.col("_w") == row["_w"])
+        x = rolling_features(ticks.join(some, F.col("instrument").eqNullSafe(F.col("_of")), "left_semi"), row["_w"])
+        x = row_numbers(x, "_tl_rn").join(some, F.col("instrument").eqNullSafe(F.col("_of"))).where(F.col("_tl_rn") % F.col("_stride") == 0)
+        x = x.groupBy("instrument").agg(F.sort_array(F.collect_list(F.struct("_tl_rn", "price", "mean", "vwap", "volume"))).alias("_all"))
+        x = x.select("instrument", *[F.col(f"_all.{c}").alias(c) for c in ("price", "mean", "vwap", "volume")])
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def json_number(x: Column, significant: int | None = None) -> Column:
+    """The number, or with so many significant digits (6: as C prints it with %.6g); null for NaN and infinities."""
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.format_string(f"%.{significant - 1}e", x).cast("double") if significant else x)
+
+
+def report_json(report: DataFrame, drawn: DataFrame | None = None, significant: int | None = None) -> DataFrame:
+    """One JSON object per instrument; NaN and infinities as null. drawn: the result of series(), whose arrays are added."""
+    stats = F.struct(*[(F.col(c) if c == "block_days" else json_number(F.col(c).cast("double"), significant)).alias(c) for c in METRICS])
+    parts = [F.col("instrument").alias("ticker"), "rows", "window", stats.alias("stats")]
+    if drawn is not None:
+        names = ("price", "mean", "vwap", "volume")
+        report = report.join(drawn.select(F.col("instrument").alias("_of"), *[F.col(c).alias(f"_{c}") for c in names]), F.col("instrument").eqNullSafe(F.col("_of")), "left")
+        parts += [F.transform(f"_{c}", lambda x: json_number(x, significant)).alias(c) for c in names]
+    return report.select("instrument", F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("json"))

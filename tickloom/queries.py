@@ -59,12 +59,12 @@ def halo_rolling(spark, d):
 
 
 def returns(spark, d):
-    x = events(spark, d).withColumns({"ret": windows.log_return(F.col("price")), "dd": windows.drawdown(F.col("price")), "obv": windows.on_balance_volume(F.col("price"), F.col("volume"))})
+    x = windows.price_moves(events(spark, d)).withColumn("ret", F.coalesce("ret", F.lit(0.0)))
     return T.rounded(x, "ret", "dd", "obv").select(*KEYS, "ret", "dd", "obv")
 
 
 def zscores(spark, d):
-    return T.rounded(events(spark, d).withColumn("z", reductions.zscore(F.col("price"))), "z").select(*KEYS, "z")
+    return T.rounded(reductions.with_zscore(events(spark, d), "price", "z"), "z").select(*KEYS, "z")
 
 
 def ema(spark, d):
@@ -182,7 +182,7 @@ def search(spark, d):
 
 
 def time_range(spark, d):
-    """All ticks of January's second week, by bounds that reach the scan."""
+    """All ticks of the middle half of the span, by bounds that reach the scan."""
     e = spark.read.parquet(f"{d}/events.parquet")
     first, last = e.agg(F.min("ts"), F.max("ts")).first()
     span = (last - first) / 4
