@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.lineage import saved, scratch, shared_base
 
-__all__ = ["attach_groups", "ascii_lower", "lean", "open_folder", "saved", "scratch", "shared_base", "text_of", "with_row_key", "word_count", "write_file"]
+__all__ = ["ROW", "attach_groups", "ascii_lower", "lean", "open_folder", "saved", "scratch", "shared_base", "text_of", "with_row_key", "word_count", "write_file"]
 
 #: Characters that separate words and that normalised texts drop: space and \x09 to \x0D.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -44,12 +44,16 @@ def word_count(col: Column) -> Column:
     return F.regexp_count(col, F.lit(WORD)).cast("long")
 
 
+#: Column of row keys; named so that no column of a table is likely to clash.
+ROW = "_tickloom_row"
+
+
 def with_row_key(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a key of each row in _row: doc_id if no row lacks or repeats it, else a number that is written with the rows."""
+    """docs with a key of each row in ROW: doc_id if no row lacks or repeats it, else a number that is written with the rows."""
     ids = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     if ids.where("n > 1 OR id IS NULL").limit(1).count():
-        return saved(lean(docs).withColumn("_row", F.monotonically_increasing_id()), name)
-    return docs.withColumn("_row", F.col("doc_id").cast("long"))
+        return saved(lean(docs).withColumn(ROW, F.monotonically_increasing_id()), name)
+    return docs.withColumn(ROW, F.col("doc_id").cast("long"))
 
 
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.llm import textscan
-from tickloom.llm.shared import attach_groups, lean, saved, with_row_key
+from tickloom.llm.shared import ROW, attach_groups, lean, saved, with_row_key
 
 SHINGLE = 5
 #: Cells of the frequency sketch, in blocks that tasks send; a token is frequent if its cell counts at least FREQUENT, and more than tokens that occur once would explain.
@@ -433,11 +433,11 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The first row of each component, by doc_id (nulls last); rows that repeat a doc_id or lack one are documents of their own."""
     keyed = with_row_key(docs, "near-rows")
-    found = similar_documents(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id")
-    ranked = found.join(keyed.select("_row", F.col("doc_id").cast("long").alias("_id")), F.col("_key") == F.col("_row"))
+    found = similar_documents(keyed.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id")
+    ranked = found.join(keyed.select(ROW, F.col("doc_id").cast("long").alias("_id")), F.col("_key") == F.col(ROW))
     ranked = saved(ranked.select("component_id", F.struct(F.col("_id").isNull().alias("none"), "_id", F.col("_key").alias("key")).alias("place")), "near-places")
-    first = ranked.groupBy("component_id").agg(F.min("place").alias("first")).select(F.col("first.key").alias("_key"))
-    return keyed.join(saved(first, "near-firsts"), F.col("_row") == F.col("_key"), "left_semi").select(docs.columns)
+    first = ranked.groupBy("component_id").agg(F.min("place").alias("first")).select(F.col("first.key").alias(ROW))
+    return keyed.join(saved(first, "near-firsts"), ROW, "left_semi").select(docs.columns)
 
 
 def op8_jaccard_groups(spark, sf_dir: str) -> DataFrame:
