@@ -72,28 +72,41 @@ def rarest_words(files: DataFrame) -> dict[Template, tuple[int, int]]:
 
 
 def starts_of(t: Template, rare: tuple[int, int]) -> Column:
-    """Starts of the template where both rare words agree and the key phrase is verified."""
-    posting = lambda i: F.transform(F.filter("hits", lambda h: h["word"] == t.words[i]), lambda h: h["at"] - i)
-    both = F.array_intersect(posting(rare[0]), posting(rare[1]))
-    near = lambda s: F.filter("hits", lambda h: (h["at"] >= s) & (h["at"] < s + len(t.words)))
-    spelled = lambda s, a, b: F.aggregate(near(s), F.lit(0), lambda n, h: n + F.when(h["word"] == F.get(F.array(*map(F.lit, t.words[a:b])), (h["at"] - s - a).cast("int")), 1).otherwise(0))
-    whole = F.filter(both, lambda s: spelled(s, *t.key) == t.key[1] - t.key[0])
-    return F.transform(whole, lambda s: F.struct(s.cast("long").alias("start"), (spelled(s, 0, len(t.words)) / F.lit(float(len(t.words)))).alias("share")))
+    """Starts of the template where both rare words agree and the rest of the key phrase is verified; intersections of postings, so the work grows with the hits alone."""
+    starts = F.array_intersect(posting(t, rare[0]), posting(t, rare[1]))
+    for i in sorted(set(range(*t.key)) - set(rare)):
+        starts = F.array_intersect(starts, posting(t, i))
+    return starts
+
+
+def posting(t: Template, i: int) -> Column:
+    """Where the template would start for each place of its word i."""
+    return F.transform(F.filter("hits", lambda h: h["word"] == t.words[i]), lambda h: (h["at"] - i).cast("long"))
+
+
+def best_share(t: Template, starts: Column) -> Column:
+    """The largest share of the template's words that stand at their places, over all starts (0 without any): how often a start comes in the postings of all words."""
+    size = len(t.words)
+    if t.base:
+        return F.when(F.size(starts) > 0, 1.0).otherwise(0.0)
+    every = F.array_sort(F.concat(*[F.array_intersect(starts, posting(t, i)) for i in range(size)]))
+    again = lambda a, m: F.exists(F.zip_with(a, F.slice(a, m, F.size(a)), lambda x, y: F.coalesce(x == y, F.lit(False))), lambda same: same)
+    most = F.transform(F.array(every), lambda a: sum((again(a, m).cast("int") for m in range(2, size + 1)), F.least(F.size(a), F.lit(1))))
+    return F.when(F.size(starts) > 0, F.get(most, F.lit(0)) / F.lit(float(size))).otherwise(0.0)
 
 
 def scan_licences(docs: DataFrame, share: float = 0.6) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row of docs (doc_id, text)."""
     files = saved(licence_words(docs), "licence-words")
     rare = rarest_words(files)
-    some = F.size("hits") > 0
-    nothing = F.array().cast("array<struct<start:bigint,share:double>>")
-    x = files.select("doc_id", "n_words", *[F.when(some, starts_of(t, rare[t])).otherwise(nothing).alias(f"t{k}") for k, t in enumerate(TEMPLATES)])
-    good = lambda k: F.filter(f"t{k}", lambda p: p["share"] >= share)
-    base = [k for k, t in enumerate(TEMPLATES) if t.base]
-    places = F.concat(*[F.transform(f"t{k}", lambda p: p["start"]) for k in base])
-    named = lambda ks: F.array_join(F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.size(good(k)) > 0, F.lit(TEMPLATES[k].label)) for k in ks]), lambda v: v.isNotNull()))), ",")
-    best = F.array_max(F.concat(F.array(F.lit(0.0)), *[F.transform(good(k), lambda p: p["share"]) for k in range(len(TEMPLATES))]))
-    x = x.withColumn("places", places)
+    some, nothing = F.size("hits") > 0, F.array().cast("array<bigint>")
+    every = range(len(TEMPLATES))
+    x = files.select("doc_id", "n_words", "hits", *[F.when(some, starts_of(t, rare[t])).otherwise(nothing).alias(f"t{k}") for k, t in enumerate(TEMPLATES)])
+    x = x.select("doc_id", "n_words", *[f"t{k}" for k in every if TEMPLATES[k].base], *[F.when(F.size(f"t{k}") > 0, best_share(t, F.col(f"t{k}"))).otherwise(0.0).alias(f"s{k}") for k, t in enumerate(TEMPLATES)])
+    base = [k for k in every if TEMPLATES[k].base]
+    named = lambda ks: F.array_join(F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.col(f"s{k}") >= share, F.lit(TEMPLATES[k].label)) for k in ks]), lambda v: v.isNotNull()))), ",")
+    best = F.greatest(F.lit(0.0), *[F.when(F.col(f"s{k}") >= share, F.col(f"s{k}")).otherwise(0.0) for k in every])
+    x = x.withColumn("places", F.concat(*[f"t{k}" for k in base]))
     return x.select(
         "doc_id",
         "n_words",
@@ -101,7 +114,7 @@ def scan_licences(docs: DataFrame, share: float = 0.6) -> DataFrame:
         F.array_min("places").alias("first_word"),
         F.array_max("places").alias("last_word"),
         named(base).alias("base_labels"),
-        named(range(len(TEMPLATES))).alias("labels"),
+        named(every).alias("labels"),
         best.alias("score"),
     )
 
