@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import SPACES, attach_groups, lean, saved, text_of
+from tickloom.llm.shared import ROW, SPACES, attach_groups, lean, saved, text_of
 
 SLOTS = 4
 KICKS = 200
@@ -172,10 +172,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     return lean(docs).select("doc_id", F.unhex(F.sha2(bare, 256)).alias("digest"), F.length(text).cast("long").alias("n_code_points"))
 
 
-def index_rows(rows: DataFrame) -> DataFrame:
-    """The index (one row per live digest) over keyed rows."""
+#: Rows that a shard of the index is made for; each is a dict and a filter in one task.
+SHARD_ROWS = 1_000_000
+
+
+def index_rows(rows: DataFrame, count: int | None = None) -> DataFrame:
+    """The index (one row per live digest) over keyed rows, in shards by their count."""
+    count = rows.count() if count is None else count
+    shards = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // SHARD_ROWS))
     events = rows.select("digest", F.lit(1).cast("long").alias("copies"), F.col("n_code_points").alias("keep_chars"), F.col("doc_id").cast("long").alias("keep_id"))
-    return events.mapInArrow(fold_local, ENTRY).repartition("digest").mapInArrow(fold_shard, ENTRY)
+    return events.mapInArrow(fold_local, ENTRY).repartition(shards, "digest").mapInArrow(fold_shard, ENTRY)
 
 
 def change_index(index: DataFrame, inserted: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
@@ -198,15 +204,21 @@ def elect(index: DataFrame, rows: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept and digest for every row of docs (doc_id, text)."""
-    rows = saved(keyed(docs), "dedup-keys")
-    index = saved(index_rows(rows), "dedup-index")
+    rows = saved(keyed(docs).withColumn(ROW, F.monotonically_increasing_id()), "dedup-keys")
     total = rows.count()
+    index = saved(index_rows(rows, total), "dedup-index")
     copies = index.where("copies > 1")
     x = attach_groups(rows, copies, "digest", "copies", total)
     lone = F.col("_group").isNull()
     keep_id = F.when(lone, F.col("doc_id")).otherwise(F.col("_group.keep_id"))
     kept = lone | (F.col("doc_id").eqNullSafe(keep_id) & (F.col("n_code_points") == F.col("_group.keep_chars")))
-    return x.select("doc_id", keep_id.alias("keep_id"), F.coalesce("_group.copies", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "digest")
+    x = x.select(ROW, "doc_id", keep_id.alias("keep_id"), F.coalesce("_group.copies", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "digest")
+    # Rows that repeat the one that stays, id and length included: the first of them stays.
+    first = saved(x.where("kept AND group_size > 1").groupBy("digest").agg(F.min(ROW).alias("_first"), F.count(F.lit(1)).alias("_n")), "dedup-first").where("_n > 1")
+    if first.limit(1).count():
+        tied = x.where("kept AND group_size > 1").join(first.select("digest"), "digest", "left_semi").join(first.select(F.col("_first").alias(ROW)), ROW, "left_anti")
+        x = x.join(saved(tied.select(ROW, F.lit(True).alias("_tied")), "dedup-tied"), ROW, "left").withColumn("kept", F.col("kept") & F.col("_tied").isNull()).drop("_tied")
+    return x.drop(ROW)
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
@@ -220,7 +232,7 @@ WITH d AS (
 ), g AS (
   SELECT *, count(*) OVER (PARTITION BY h) AS size,
     first_value(doc_id) OVER (PARTITION BY h ORDER BY n DESC, doc_id NULLS LAST) AS keep_id,
-    max(n) OVER (PARTITION BY h) AS most FROM d
+    row_number() OVER (PARTITION BY h ORDER BY n DESC, doc_id NULLS LAST) AS place FROM d
 )
-SELECT doc_id, keep_id, size AS group_size, doc_id IS NOT DISTINCT FROM keep_id AND n = most AS kept, h AS text_sha256 FROM g
+SELECT doc_id, keep_id, size AS group_size, place = 1 AS kept, h AS text_sha256 FROM g
 """
