@@ -125,6 +125,10 @@ class FactorisationMachine:
         return 1 / (1 + np.exp(-np.clip(self.margin(self.scaled(raw))[0].astype(np.float64), -30, 30)))
 
 
+#: Column of the scores; named so that no column of a table is likely to clash.
+SCORE = "_tickloom_quality_score"
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
@@ -142,6 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Factorisa
     order = [F.md5(F.col("_id").cast("string")), "_id"]
     sample = known.where("label = 0").orderBy(*order).limit(max_rows // 2).unionByName(known.where("label = 1").orderBy(*order).limit(max_rows // 2))
     rows = lean(docs).select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "label", "text")
+    # Rows that repeat a doc_id give one row, so max_rows bounds what reaches the driver.
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     found = rows.mapInArrow(vectors, "doc_id bigint, label int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
     y = np.array(found.column("label").to_pylist(), np.float32)
     if not 0 < y.sum() < len(y):
@@ -155,25 +161,25 @@ def scorer(model: FactorisationMachine | None) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in textscan.chunks(batches):
             s = np.full(part.num_rows, 0.5) if model is None else model.scores(features(part.column("text")))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*part.schema.names, "_quality_score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*part.schema.names, SCORE])
 
     return score
 
 
 def score_documents(docs: DataFrame, model: FactorisationMachine | None) -> DataFrame:
-    """docs with _quality_score (0 to 1, higher: label 1 likelier)."""
+    """docs with SCORE (0 to 1, higher: label 1 likelier)."""
     from pyspark.sql import types as T
 
-    return lean(docs).mapInArrow(scorer(model), T.StructType([*docs.schema.fields, T.StructField("_quality_score", T.DoubleType())]))
+    return lean(docs).mapInArrow(scorer(model), T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())]))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score at least threshold."""
-    return score_documents(docs, train(docs, labels)).where(F.col("_quality_score") >= threshold).drop("_quality_score")
+    return score_documents(docs, train(docs, labels)).where(F.col(SCORE) >= threshold).drop(SCORE)
 
 
 def op1_quality_fm(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     scored = score_documents(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    score = F.col("_quality_score")
+    score = F.col(SCORE)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
