@@ -2,7 +2,8 @@
 
 log P(lang | page) = log P(text | lang) + log P(markup's lang | lang) + log P(address' suffix | lang) + log P(lang | host), up to a constant.
 Text: byte trigrams of the visible text in BUCKETS hashed cells, multinomial, with counts per language over all of `documents`; its weight is
-tempered (TEMPER, neighbouring trigrams aren't independent). Markup and address: the declared language (html lang) and the language named by a path segment or country suffix are right with the
+tempered (TEMPER, neighbouring trigrams aren't independent): all trigrams of the whole page count, but together for no more than MOST_TRIGRAMS would, as
+a longer page's further trigrams repeat what its first ones say. Markup and address: the declared language (html lang) and the language named by a path segment or country suffix are right with the
 probabilities TRUST, the rest being shared by the other languages. Host: the other evidence gives each page's shares of languages; their sums by host, domain, suffix and
 overall are smoothed in turn, each level by STRENGTH pages of the level above, a page's own share left out.
 
@@ -31,11 +32,27 @@ TRUST = {"markup": 0.9, "address": 0.85}
 STRENGTH = 4.0
 #: Country suffixes whose main language is another code.
 SUFFIX_LANGUAGE = {"at": "de", "ch": "de", "mx": "es", "ar": "es", "uk": "en", "us": "en", "ca": "en", "au": "en", "be": "fr"}
-_HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+#: What a tag can begin, and where scripts, styles and comments end.
+_OPENS = re.compile(r"(?i)<(?:(script|style)\b|(!--))?")
+_ENDS = {"script": re.compile(r"(?i)</script\s*>"), "style": re.compile(r"(?i)</style\s*>"), "!--": re.compile("-->"), "": re.compile(">")}
 
 
 def visible(html: str) -> str:
-    return _HIDDEN.sub(" ", html)
+    """The text with each tag, comment, script and style as a space. One that never ends counts as a plain tag, and a tag that never ends as text; linear, as each end is looked for in vain once."""
+    out, at, missing = [], 0, set()
+    for found in iter(lambda: _OPENS.search(html, at), None):
+        out.append(html[at : found.start()])
+        for kind in ((found[1] or found[2] or "").lower(), ""):
+            end = None if kind in missing else _ENDS[kind].search(html, found.end())
+            if end:
+                break
+            missing.add(kind)
+        if "" in missing:
+            at = found.start()
+            break
+        out.append(" ")
+        at = end.end()
+    return "".join([*out, html[at:]])
 
 
 def trigram_cells(data: np.ndarray) -> np.ndarray:
@@ -120,7 +137,7 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
     langs, table = train(documents)
     slim = lean(pages).select("page_id", "url", "html")
     if not langs:
-        return slim.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"))
+        return slim.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), *[F.lit(None).cast("string").alias(c) for c in ("host", "declared", "suffix_lang")])
     declared = F.lower(F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
     rows = slim.select("page_id", "url", declared.alias("declared"), "html").mapInArrow(likelihoods(spark.sparkContext.broadcast(table)), "page_id bigint, url string, declared string, text_log array<double>")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
@@ -141,7 +158,11 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
     total = sum(overall[f"c{i}"] or 0.0 for i in L)
     base = [F.lit(((overall[f"c{i}"] or 0.0) + 1) / (total + len(langs))) for i in L]
     suffixes = level(hosts.groupBy("suffix").agg(*again), "suffix", base)
-    domains = hosts.groupBy("domain", "suffix").agg(*again).join(suffixes, "suffix")
+    domains = hosts.groupBy("domain", "suffix").agg(F.count(F.lit(1)).alias("_hosts"), *again)
+    # A suffix may hold most domains: they stay where they are, and the suffix comes to them.
+    domains = saved(domains, "language-domains")
+    suffixes = saved(suffixes.join(domains.groupBy("suffix").agg(F.count(F.lit(1)).alias("domains")), "suffix"), "language-suffixes")
+    domains = attach_groups(domains, suffixes, "suffix", "domains", domains.count()).withColumn("suffix_p", F.col("_group.suffix_p")).drop("_group", "_hosts")
     domains = level(domains, "domain", [F.col("suffix_p")[i] for i in L])
     hosts = hosts.join(domains, "domain").select("host", "pages", F.array(*[F.col(f"c{i}") for i in L]).alias("counts"), "domain_p")
     x = attach_groups(x, saved(hosts, "language-priors"), "host", "pages", x.count())
