@@ -144,8 +144,8 @@ def spaced(hashes: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
     return mixed(out + np.uint64(salt))
 
 
-#: Bits of a Bloom filter, as powers of two: from 2**17 to 2**30 (128 MB), 12 or more for each key, two set by each. Beyond 90 million keys a filter lets more through.
-BLOOM_LEAST, BLOOM_MOST, BLOOM_KEY = 17, 30, 12
+#: Bits of a Bloom filter, as powers of two: from 2**25 (4 MB) to 2**30 (128 MB), at least 64 for each key, two set by each (one in 1000 other keys passes). Beyond 16 million keys it lets more through.
+BLOOM_LEAST, BLOOM_MOST, BLOOM_KEY = 25, 30, 64
 
 
 def bloom_of(rows, column: str, mix: bool = True) -> np.ndarray:

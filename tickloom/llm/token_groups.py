@@ -17,8 +17,8 @@ Every link between classes of different components is found in 3, so the compone
 Edge cases: null and empty texts, and those without words, have size 0 and link to nothing; texts with fewer than 5 words have one shingle; rows that repeat a
 doc_id count as documents of their own with that id; an empty table gives no rows; extra columns are ignored.
 
-Scale: the texts are read and hashed once, to packed sets (one of a class and task); prefixes move once, packed by token bucket; whole sets move only for
-classes that are compared. Token joins have a row per token and pair of groups, not of classes. Groups are bounded and their queries are salted by SALT; copies come back by
+Scale: four to seven scans of the texts (measures and sketch, prefixes, whole sets of each round's classes and of the opened groups), none of which shuffles them and none of
+whose sets is kept on disk; prefixes move once, packed by token bucket; whole sets move only for classes that are compared. Token joins have a row per token and pair of groups, not of classes. Groups are bounded and their queries are salted by SALT; copies come back by
 attach_groups, so no hot class lands in one task. The sketch has a fixed size (4 << CELL_BITS bytes), the Bloom filters grow with the classes wanted.
 """
 
@@ -45,6 +45,8 @@ HOT, ROUNDS = 32, 4
 LEAD_COLUMNS = [f"lead{turn}" for turn in range(ROUNDS)]
 #: Contraction compares a class with up to LEADS others whose SKETCH least tokens let a similarity of LIKELY be expected.
 LEADS, SKETCH, LIKELY = 4, 24, 0.6
+#: Leads (40 bytes each) that are broadcast; more join by shuffle.
+FEW_LEADS = 200_000
 #: Contraction ends with a round that found no more than one link in so many comparisons.
 FRUITLESS = 5
 
@@ -68,43 +70,36 @@ def token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBat
         yield part, sets, keys.view(np.int64).tolist()
 
 
-def set_writer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, cls and, once a class and task, the packed set and its SKETCH least tokens."""
-    seen = set()
+def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, n, cls and, once a class and task, the SKETCH least tokens of the set; at last, the cells of the task's sets in blocks."""
+    seen, total = set(), np.zeros(1 << CELL_BITS, np.uint32)
     for part, sets, keys in token_sets(batches):
-        packed, least = [], []
+        least, new = [], []
         for s, key in zip(sets, keys, strict=True):
-            new = len(s) and key not in seen
-            if new:
+            fresh = len(s) and key not in seen
+            if fresh:
                 seen.add(key)
-            packed.append(s.tobytes() if new else None)
-            least.append(s[:SKETCH].view(np.int64) if new else None)
+                new.append(s)
+            least.append(s[:SKETCH].view(np.int64) if fresh else None)
+        if new:
+            cells, n = np.unique(cell_of(np.concatenate(new)), return_counts=True)
+            total[cells] += n.astype(np.uint32)
         n = [len(s) for s in sets]
-        columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array([k if c else None for k, c in zip(keys, n, strict=True)], pa.int64()), pa.array(packed, pa.binary()), pa.array(least, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "cls", "tokens", "least"])
-
-
-def cell_of(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.intp)
+        none = len(n)
+        columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array([k if c else None for k, c in zip(keys, n, strict=True)], pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=MEASURED)
+    if seen:
+        blocks = total.reshape(-1, CELL_BLOCK)
+        none = len(blocks)
+        columns = [pa.nulls(none, pa.int64())] * 3 + [pa.nulls(none, pa.list_(pa.int64())), pa.array(np.arange(none)), pa.array([b.tobytes() for b in blocks], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=MEASURED)
 
 
-def whole_bytes(column: pa.Array) -> np.ndarray:
-    """All tokens of a column of packed sets."""
-    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view(np.uint64) if at[-1] > at[0] else np.zeros(0, np.uint64)
+MEASURED = ["doc_id", "n", "cls", "least", "block", "counts"]
 
 
-def count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, some = np.zeros(1 << CELL_BITS, np.uint32), False
-    for batch in batches:
-        tokens = whole_bytes(batch.column("tokens"))
-        if len(tokens):
-            cells, n = np.unique(cell_of(tokens), return_counts=True)
-            total[cells] += n.astype(np.uint32)
-            some = True
-    if some:
-        blocks = total.reshape(-1, CELL_BLOCK)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks))), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "counts"])
+def cell_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.intp)
 
 
 def add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,10 +113,9 @@ def add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([np.minimum(x, high).astype(np.uint32).tobytes() for x in found.values()], pa.binary())], names=["block", "counts"])
 
 
-def frequencies(sets: DataFrame) -> np.ndarray:
+def frequencies(parts: DataFrame) -> np.ndarray:
     """How often the tokens of each cell occur in all sets; 0 where that is not frequent."""
-    parts = sets.where("tokens IS NOT NULL").select("tokens").mapInArrow(count_cells, "block bigint, counts binary")
-    added = parts.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block").mapInArrow(add_blocks, "block bigint, counts binary").toArrow()
+    added = parts.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block").mapInArrow(add_blocks, "block bigint, counts binary").toArrow()
     table = np.zeros((1 << CELL_BITS) // CELL_BLOCK * CELL_BLOCK, np.uint32).reshape(-1, CELL_BLOCK)
     for block, counts in zip(added.column("block").to_pylist(), added.column("counts").to_pylist(), strict=True):
         table[block] = np.frombuffer(counts, np.uint32)
@@ -131,10 +125,10 @@ def frequencies(sets: DataFrame) -> np.ndarray:
 
 
 def bucketer(frequent, buckets: int, flush: int = 1_000_000) -> Callable:
-    """Prefixes of packed sets, by token bucket."""
+    """Prefixes of the texts' sets, once a class and task, by token bucket."""
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, held, owners, size = frequent.value, [], [], 0
+        often, seen, held, owners, size = frequent.value, set(), [], [], 0
 
         def packed() -> pa.RecordBatch:
             tokens, cls = np.concatenate(held), np.concatenate(owners)
@@ -146,9 +140,11 @@ def bucketer(frequent, buckets: int, flush: int = 1_000_000) -> Callable:
             columns = [pa.array([int(of[a]) for a, _ in spans], pa.int64()), pa.array([tokens[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([cls[a:b].tobytes() for a, b in spans], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["bucket", "tokens", "cls"])
 
-        for batch in batches:
-            for key, whole in zip(batch.column("cls").to_pylist(), batch.column("tokens"), strict=True):
-                tokens = np.frombuffer(whole.as_buffer(), np.uint64)
+        for _, sets, keys in token_sets(batches):
+            for key, tokens in zip(keys, sets, strict=True):
+                if key in seen or not len(tokens):
+                    continue
+                seen.add(key)
                 level = often.take(cell_of(tokens))
                 if level.any():
                     tokens = tokens[np.lexsort((tokens, level))]
@@ -206,24 +202,23 @@ def shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def set_finder(bloom) -> Callable:
-    """Rows of packed sets whose class may be wanted."""
+    """Whole sets of the texts whose class may be wanted, once a class and task."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bloom.value
-        for batch in batches:
-            hit = textscan.maybe_in(table, textscan.mixed(batch.column("cls").to_numpy().view(np.uint64)))
-            if len(hit):
-                yield batch.take(pa.array(hit))
+        table, seen = bloom.value, {0}
+        for _, sets, keys in token_sets(batches):
+            hit = [i for i in textscan.maybe_in(table, textscan.mixed(np.array(keys, np.int64).view(np.uint64))).tolist() if not (keys[i] in seen or seen.add(keys[i]))]
+            if hit:
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in hit], pa.int64()), pa.array([sets[i].tobytes() for i in hit], pa.binary())], names=["cls", "tokens"])
 
     return find
 
 
-def whole_sets(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls and tokens of the wanted classes (cls, doc: the document that stands for it)."""
-    bloom = sets.sparkSession.sparkContext.broadcast(textscan.bloom_of(wanted, "cls"))
-    found = sets.where("tokens IS NOT NULL").select("doc_id", "cls", "tokens").mapInArrow(set_finder(bloom), "doc_id bigint, cls bigint, tokens binary")
-    rows = found.join(wanted.select(F.col("cls").alias("_cls"), "doc"), (F.col("cls") == F.col("_cls")) & F.col("doc_id").eqNullSafe(F.col("doc")))
-    return rows.select("cls", "tokens").dropDuplicates(["cls"])
+def whole_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls and tokens of the wanted classes (cls)."""
+    bloom = texts.sparkSession.sparkContext.broadcast(textscan.bloom_of(wanted, "cls"))
+    found = texts.mapInArrow(set_finder(bloom), "cls bigint, tokens binary")
+    return found.dropDuplicates(["cls"]).join(wanted, "cls", "left_semi")
 
 
 def open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,14 +312,12 @@ def unsigned(token: Column) -> Column:
     return token.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def more_sets(rows: DataFrame, classes: DataFrame, known: DataFrame | None, wanted: DataFrame) -> DataFrame:
+def more_sets(texts: DataFrame, known: DataFrame | None, wanted: DataFrame) -> DataFrame:
     """The known sets (cls, tokens) and those of the wanted classes (cls) that are not among them."""
-    if known is not None:
-        wanted = wanted.join(known.select("cls"), "cls", "left_anti")
-    wanted = saved(wanted.join(classes.select("cls", "doc"), "cls"), "wanted")
+    wanted = saved(wanted if known is None else wanted.join(known.select("cls"), "cls", "left_anti"), "wanted")
     if known is not None and not wanted.limit(1).count():
         return known
-    found = saved(whole_sets(rows, wanted), "whole-sets")
+    found = saved(whole_sets(texts, wanted), "whole-sets")
     return found if known is None else known.unionByName(found)
 
 
@@ -335,20 +328,31 @@ def merged(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return saved(relabelled(nodes, components(edges.select(F.col("_u").alias("u"), F.col("_v").alias("v")))), "nodes")
 
 
-def contracted(rows: DataFrame, classes: DataFrame, posts: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def likely(rows: DataFrame, leads: DataFrame) -> DataFrame:
+    """The leads (cls, g) whose sketches let a similarity of LIKELY be expected. Few leads go to the sketches, which stay in place."""
+    few = leads.count() <= FEW_LEADS
+    small = F.broadcast if few else (lambda df: df)
+    both = saved(leads.select("cls").unionByName(leads.select(F.col("g").alias("cls"))).distinct(), "led-classes")
+    sketches = rows.where("least IS NOT NULL").select("cls", "least").join(small(both), "cls", "left_semi").dropDuplicates(["cls"])
+    sketches = saved(sketches, "sketches")
+    x = sketches.join(small(leads), "cls").join(sketches.select(F.col("cls").alias("g"), F.col("least").alias("g_least")), "g")
+    return x.where(alike("least", "g_least") >= LIKELY).select(leads.columns)
+
+
+def contracted(texts: DataFrame, rows: DataFrame, posts: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """nodes after rounds of contraction, with the class they were led to first in `home`, and the sets known by then."""
-    known, sketches, place = None, classes.select("cls", "least"), F.row_number().over(W.partitionBy("cls").orderBy(F.desc("k"), "g"))
+    known, place = None, F.row_number().over(W.partitionBy("cls").orderBy(F.desc("k"), "g"))
     for turn in LEAD_COLUMNS:
         leads = posts.where(F.col(turn) != F.col("cls")).select("cls", F.col(turn).alias("g")).groupBy("cls", "g").agg(F.count(F.lit(1)).alias("k"))
         of = nodes.select("cls", "comp")
         leads = leads.join(of, "cls").join(of.select(F.col("cls").alias("g"), F.col("comp").alias("g_comp")), "g").where("comp <> g_comp")
-        leads = leads.withColumn("place", place).where(F.col("place") <= LEADS).join(sketches, "cls").join(sketches.select(F.col("cls").alias("g"), F.col("least").alias("g_least")), "g")
-        asked = saved(leads.where(alike("least", "g_least") >= LIKELY).select("g", "g_comp", "cls", "comp", "place"), "queries")
+        leads = leads.withColumn("place", place).where(F.col("place") <= LEADS).select("g", "g_comp", "cls", "comp", "place")
+        asked = saved(likely(rows, saved(leads, "leads")), "queries")
         n_asked = asked.count()
         if not n_asked:
             break
         stars = asked.select(F.col("g").alias("cls"), F.col("g_comp").alias("comp")).distinct()
-        known = more_sets(rows, classes, known, asked.select("cls").unionByName(stars.select("cls")).distinct())
+        known = more_sets(texts, known, asked.select("cls").unionByName(stars.select("cls")).distinct())
         found = saved(links(known, stars.select(F.col("cls").alias("g"), "cls", "comp"), asked.select("g", "cls", "comp")), "found")
         led = asked.groupBy(F.col("cls").alias("_cls")).agg(F.min_by("g", "place").alias("_lead"))
         nodes = saved(nodes.join(led, F.col("cls") == F.col("_cls"), "left").withColumn("home", F.coalesce("home", "_lead")).drop("_cls", "_lead"), "nodes")
@@ -396,27 +400,28 @@ def group_pairs(posts: DataFrame, nodes: DataFrame) -> DataFrame:
 def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
     spark: SparkSession = docs.sparkSession
-    rows = saved(lean(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(set_writer, "doc_id bigint, n bigint, cls bigint, tokens binary, least array<bigint>"), "sets")
-    held = F.min(F.when(F.col("tokens").isNotNull(), F.col("doc_id")))
-    classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"), held.alias("doc"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("least").alias("least"))
+    texts = lean(docs.select(F.col("doc_id").cast("long"), "text"))
+    measured = saved(texts.mapInArrow(measure, "doc_id bigint, n bigint, cls bigint, least array<bigint>, block bigint, counts binary"), "sets")
+    rows = measured.where("block IS NULL")
+    classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
     classes = saved(classes, "classes")
-    frequent = spark.sparkContext.broadcast(frequencies(rows))
+    frequent = spark.sparkContext.broadcast(frequencies(measured.where("block IS NOT NULL").select("block", "counts")))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 4
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(4 * partitions, total // BUCKET_TOKENS)
-    packed = rows.where("tokens IS NOT NULL").select("cls", "tokens").mapInArrow(bucketer(frequent, buckets), "bucket bigint, tokens binary, cls binary")
+    packed = texts.mapInArrow(bucketer(frequent, buckets), "bucket bigint, tokens binary, cls binary")
     dealt = packed.repartition(max(partitions, buckets // 4), "bucket").sortWithinPartitions("bucket")
     posts = saved(dealt.mapInArrow(shared_tokens, ", ".join(f"{c} bigint" for c in ("token", "cls", *LEAD_COLUMNS))), "postings")
 
     nodes = posts.select("cls").distinct().join(classes.select("cls", "n"), "cls").withColumn("comp", F.col("cls")).withColumn("home", F.lit(None).cast("long"))
-    nodes, known = contracted(rows, classes, posts, saved(nodes, "nodes"))
+    nodes, known = contracted(texts, rows, posts, saved(nodes, "nodes"))
     members = grouped(nodes)
     pairs = group_pairs(posts, members)
     asks = members.select("cls", "comp", F.col("g").alias("asks"))
     queries = saved(pairs.join(asks, "asks").select("g", "cls", "comp"), "group-queries")
     if queries.limit(1).count():
         opened = members.select("g", "cls", "comp").join(pairs.select("g").distinct(), "g", "left_semi")
-        known = more_sets(rows, classes, known, queries.select("cls").unionByName(opened.select("cls")).distinct())
+        known = more_sets(texts, known, queries.select("cls").unionByName(opened.select("cls")).distinct())
         found = saved(links(known, opened, queries), "found")
         if found.limit(1).count():
             nodes = merged(nodes, found)
