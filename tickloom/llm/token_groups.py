@@ -45,7 +45,7 @@ HOT, ROUNDS = 32, 4
 LEAD_COLUMNS = [f"lead{turn}" for turn in range(ROUNDS)]
 #: Contraction compares a class with up to LEADS others whose SKETCH least tokens let a similarity of LIKELY be expected.
 LEADS, SKETCH, LIKELY = 4, 24, 0.6
-#: Leads (40 bytes each) that are broadcast; more join by shuffle.
+#: Leads, or rows of opened groups (40 bytes each), that are broadcast; more join by shuffle.
 FEW_LEADS = 200_000
 #: Contraction ends with a round that found no more than one link in so many comparisons.
 FRUITLESS = 5
@@ -260,7 +260,8 @@ def links(sets: DataFrame, members: DataFrame, queries: DataFrame) -> DataFrame:
     tokens = sets.select(F.col("cls").alias("_cls"), "tokens")
     one = members.join(asked, "g").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("kind", F.lit(0))
     two = queries.join(asked, "g").withColumn("salt", F.pmod(F.xxhash64("cls"), "salts").cast("int")).withColumn("kind", F.lit(1))
-    rows = one.select("g", "salt", "kind", "cls", "comp").unionByName(two.select("g", "salt", "kind", "cls", "comp"))
+    rows = saved(one.select("g", "salt", "kind", "cls", "comp").unionByName(two.select("g", "salt", "kind", "cls", "comp")), "opened")
+    rows = F.broadcast(rows) if rows.count() <= FEW_LEADS else rows  # few go to the sets, which then move once
     rows = rows.join(tokens, F.col("cls") == F.col("_cls")).select("g", "salt", "kind", "cls", "comp", "tokens")
     dealt = rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "kind")
     return dealt.mapInArrow(open_groups, "u bigint, v bigint")
@@ -344,8 +345,10 @@ def contracted(texts: DataFrame, rows: DataFrame, posts: DataFrame, nodes: DataF
     known, place = None, F.row_number().over(W.partitionBy("cls").orderBy(F.desc("k"), "g"))
     for turn in LEAD_COLUMNS:
         leads = posts.where(F.col(turn) != F.col("cls")).select("cls", F.col(turn).alias("g")).groupBy("cls", "g").agg(F.count(F.lit(1)).alias("k"))
-        of = nodes.select("cls", "comp")
-        leads = leads.join(of, "cls").join(of.select(F.col("cls").alias("g"), F.col("comp").alias("g_comp")), "g").where("comp <> g_comp")
+        # Classes that no link has joined yet are their own component: only the others are looked up.
+        of = saved(nodes.where("comp <> cls").select("cls", "comp"), "joined")
+        leads = leads.join(of, "cls", "left").join(of.select(F.col("cls").alias("g"), F.col("comp").alias("g_comp")), "g", "left")
+        leads = leads.withColumns({"comp": F.coalesce("comp", "cls"), "g_comp": F.coalesce("g_comp", "g")}).where("comp <> g_comp")
         leads = leads.withColumn("place", place).where(F.col("place") <= LEADS).select("g", "g_comp", "cls", "comp", "place")
         asked = saved(likely(rows, saved(leads, "leads")), "queries")
         n_asked = asked.count()
