@@ -125,8 +125,8 @@ class FactorisationMachine:
         return 1 / (1 + np.exp(-np.clip(self.margin(self.scaled(raw))[0].astype(np.float64), -30, 30)))
 
 
-#: Column of the scores; named so that no column of a table is likely to clash.
-SCORE = "_tickloom_quality_score"
+#: Column of the scores, unless another name is given.
+SCORE = "_quality_score"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -157,25 +157,28 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Factorisa
     return model
 
 
-def scorer(model: FactorisationMachine | None) -> Callable:
+def scorer(model: FactorisationMachine | None, name: str) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in textscan.chunks(batches):
             s = np.full(part.num_rows, 0.5) if model is None else model.scores(features(part.column("text")))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*part.schema.names, SCORE])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*part.schema.names, name])
 
     return score
 
 
-def score_documents(docs: DataFrame, model: FactorisationMachine | None) -> DataFrame:
-    """docs with SCORE (0 to 1, higher: label 1 likelier)."""
+def score_documents(docs: DataFrame, model: FactorisationMachine | None, name: str = SCORE) -> DataFrame:
+    """docs with the column name (0 to 1, higher: label 1 likelier)."""
     from pyspark.sql import types as T
 
-    return lean(docs).mapInArrow(scorer(model), T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())]))
+    return lean(docs).mapInArrow(scorer(model, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score at least threshold."""
-    return score_documents(docs, train(docs, labels)).where(F.col(SCORE) >= threshold).drop(SCORE)
+    name = SCORE
+    while name in docs.columns:
+        name += "_"
+    return score_documents(docs, train(docs, labels), name).where(F.col(name) >= threshold).drop(name)
 
 
 def op1_quality_fm(spark, sf_dir: str) -> DataFrame:
