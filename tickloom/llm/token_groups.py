@@ -256,13 +256,15 @@ def open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(sets: DataFrame, members: DataFrame, queries: DataFrame) -> DataFrame:
     """Links (u, v) of the queries (g, cls, comp) with the members (g, cls, comp) of their groups, between components."""
-    asked = queries.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
+    sizes = saved(queries.groupBy("g").agg(F.count(F.lit(1)).alias("asking")), "asking")
+    asked = sizes.select("g", F.ceil(F.col("asking") / SALT).cast("int").alias("salts"))
     tokens = sets.select(F.col("cls").alias("_cls"), "tokens")
     # A group of very many queries has as many salts: its members are dealt over tasks before each is repeated for them.
     partitions = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = members.join(asked, "g").repartition(partitions, "g", "cls")
     one = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("kind", F.lit(0))
-    two = queries.join(asked, "g").withColumn("salt", F.pmod(F.xxhash64("cls"), "salts").cast("int")).withColumn("kind", F.lit(1))
+    two = attach_groups(queries, sizes, "g", "asking", queries.count())
+    two = two.withColumn("salt", F.pmod(F.xxhash64("cls"), F.ceil(F.col("_group.asking") / SALT)).cast("int")).withColumn("kind", F.lit(1))
     rows = saved(one.select("g", "salt", "kind", "cls", "comp").unionByName(two.select("g", "salt", "kind", "cls", "comp")), "opened")
     rows = F.broadcast(rows) if rows.count() <= FEW_LEADS else rows  # few go to the sets, which then move once
     rows = rows.join(tokens, F.col("cls") == F.col("_cls")).select("g", "salt", "kind", "cls", "comp", "tokens")
