@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -449,8 +450,24 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = similar_documents(keyed.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id")
     ranked = found.join(keyed.select(ROW, F.col("doc_id").cast("long").alias("_id")), F.col("_key") == F.col(ROW))
     ranked = saved(ranked.select("component_id", F.struct(F.col("_id").isNull().alias("none"), "_id", F.col("_key").alias("key")).alias("place")), "near-places")
-    first = ranked.groupBy("component_id").agg(F.min("place").alias("first")).select(F.col("first.key").alias(ROW))
-    return keyed.join(saved(first, "near-firsts"), ROW, "left_semi").select(docs.columns)
+    groups = ranked.groupBy("component_id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    later = attach_groups(ranked, groups, "component_id", "size", ranked.count()).where(F.col("place") != F.col("_group.first"))
+    return without_rows(keyed, saved(later.select(F.col("place.key").alias(ROW)), "near-gone")).select(docs.columns)
+
+
+def without_rows(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows (keyed by ROW) but those in gone (ROW). Rows that a Bloom filter of gone rules out stay in place; of the others, those that are gone at all are looked up."""
+    bloom = rows.sparkSession.sparkContext.broadcast(textscan.bloom_of(gone, ROW))
+
+    @F.pandas_udf("boolean")
+    def maybe(keys: pd.Series) -> pd.Series:
+        found = np.zeros(len(keys), bool)
+        found[textscan.maybe_in(bloom.value, textscan.mixed(keys.to_numpy(np.int64).view(np.uint64)))] = True
+        return pd.Series(found)
+
+    flagged = rows.withColumn("_tickloom_maybe", maybe(ROW))
+    stay = flagged.where(~F.col("_tickloom_maybe"))
+    return stay.unionByName(flagged.where("_tickloom_maybe").join(gone, ROW, "left_anti")).drop("_tickloom_maybe")
 
 
 def op8_jaccard_groups(spark, sf_dir: str) -> DataFrame:
