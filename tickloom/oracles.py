@@ -142,6 +142,16 @@ SELECT q, symbol, key, rank FROM k WHERE rank IS NOT NULL QUALIFY row_number() O
 
 BIG = "CASE WHEN v >= 1e12 THEN printf('%.2fT', v / 1e12) WHEN v >= 1e9 THEN printf('%.2fB', v / 1e9) WHEN v >= 1e6 THEN printf('%.1fM', v / 1e6) WHEN v >= 1e3 THEN printf('%.1fK', v / 1e3) ELSE printf('%.0f', v) END"
 
+
+
+def queue(step: str) -> str:
+    """q: the trace of channel_trace with the level y after each event, one event at a time."""
+    return f"""WITH RECURSIVE e AS (SELECT event_type::VARCHAR AS channel, event_id * 2 + 1 AS moment, 1 AS step FROM events UNION ALL SELECT event_type::VARCHAR, event_id * 2, -1 FROM events WHERE event_id % 3 = 0),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY moment) AS place FROM e),
+q AS (SELECT channel, place, step, greatest(step, 0)::BIGINT AS y, 0::BIGINT AS old FROM p WHERE place = 1
+  UNION ALL SELECT p.channel, p.place, p.step, ({step})::BIGINT, q.y FROM q JOIN p ON p.channel = q.channel AND p.place = q.place + 1)"""
+
+
 ORACLES = {
     "market_pipeline": market(),
     "rolling_features": features(20),
@@ -179,6 +189,8 @@ SELECT instrument, ord, {r('f.vwap - y')} AS feature, {r('CASE WHEN g.std = 0 TH
     "search": f"WITH {listed()}{SEARCH}",
     "time_range": "SELECT event_id, event_type, round(value, 6) AS value FROM events, (SELECT min(ts) AS a, max(ts) AS b FROM events) WHERE ts >= a + (b - a) / 4 AND ts <= b - (b - a) / 4",
     "replay_batches": f"WITH {ticks()} SELECT instrument, (rn - 1) // 500 AS batch, count(*) AS n, {r('sum(price)', 4)} AS price_sum FROM t GROUP BY 1, 2",
+    "bounded_channel": f"{queue('least(64, greatest(0, q.y + p.step))')} SELECT channel, count(*) FILTER (step = 1 AND old < 64) AS accepted, count(*) FILTER (step = 1 AND old = 64) AS dropped, max(y) AS most FROM q GROUP BY channel",
+    "blocking_channel": f"{queue('greatest(0, q.y + p.step)')} SELECT channel, count(*) FILTER (step = 1 AND y <= 64) AS accepted, count(*) FILTER (step = 1 AND y > 64) AS waited, least(64, max_by(y, place)) AS depth, greatest(0, max(y) - 64) AS most_waiting FROM q GROUP BY channel",
     "sequence_gaps": f"WITH {ticks()}, g AS (SELECT instrument, ord - lag(ord) OVER (PARTITION BY instrument ORDER BY ord) - 1 AS missing FROM t) SELECT instrument, count(*) AS n_gaps, sum(missing)::BIGINT AS n_missing FROM g WHERE missing <> 0 GROUP BY 1",
     "analytics_chain": f"""WITH RECURSIVE {ticks()}, src AS MATERIALIZED (SELECT instrument, rn AS place, price, ord FROM t), {recursion('e', 'src', 'instrument', 'price', 0.1)},
 m AS (SELECT instrument, place, y, avg(y) OVER w AS mean, {deviation('y', 'OVER w')} AS sd FROM e WINDOW w AS (PARTITION BY instrument)),

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions import ieee
 from tickloom.operators import reductions, scans, tensor, windows
+from tickloom.plans.graph import PlanGraph
 
 
 @dataclass(frozen=True)
@@ -45,10 +46,16 @@ def close(a: float, b: float, eps: float) -> bool:
 
 
 class Engine:
-    """Kernels by name, and SQL names for those that are expressions on arrays."""
+    """Kernels by name, those that are expressions on arrays as Columns, and plan graphs with what their last run took."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        self.took: dict[str, float] = {}
+
+    def execute(self, graph: PlanGraph, timed: bool = False) -> dict[str, DataFrame]:
+        """The graph's outputs by name. With timed, each live node's plan is run alone once more, and its seconds are kept in `took`."""
+        self.took = graph.timed() if timed else {}
+        return graph.execute()
 
     def kernel(self, name: str) -> Kernel:
         if name not in KERNELS:

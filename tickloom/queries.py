@@ -194,13 +194,24 @@ def replay_batches(spark, d):
     return T.rounded(segments.replay_batches(events(spark, d), 500), "price_sum", digits=4).select("instrument", "batch", "n", "price_sum")
 
 
-def channel(spark, d):
+def channel_trace(spark, d):
     """Each event pushes, every third also stands for a pop before it."""
     t = events(spark, d)
     pushes = t.select(F.col("instrument").alias("channel"), (F.col("ord") * 2 + 1).alias("at"), F.lit("push").alias("op"))
     pops = t.where(F.col("ord") % 3 == 0).select(F.col("instrument").alias("channel"), (F.col("ord") * 2).alias("at"), F.lit("pop").alias("op"))
-    x = online.bounded_channel(pushes.unionByName(pops), 64)
-    return x.groupBy("channel").agg(F.count_if((F.col("op") == "push") & F.col("ok")).alias("accepted"), F.count_if((F.col("op") == "push") & ~F.col("ok")).alias("dropped"), F.max("depth").alias("most"))
+    return pushes.unionByName(pops)
+
+
+def channel(spark, d):
+    x = online.channel_counters(online.bounded_channel(channel_trace(spark, d), 64))
+    return x.select("channel", "accepted", F.col("refused").alias("dropped"), "most")
+
+
+def blocking(spark, d):
+    """The same trace, but a push waits while the queue is full."""
+    x = online.blocking_channel(channel_trace(spark, d), 64)
+    waiting = x.groupBy(F.col("channel").alias("_of")).agg(F.max("waiting").alias("most_waiting"))
+    return online.channel_counters(x).join(waiting, F.col("channel") == F.col("_of")).select("channel", "accepted", F.col("refused").alias("waited"), "depth", "most_waiting")
 
 
 def gaps(spark, d):
@@ -252,6 +263,7 @@ QUERIES = {
     "time_range": time_range,
     "replay_batches": replay_batches,
     "bounded_channel": channel,
+    "blocking_channel": blocking,
     "sequence_gaps": gaps,
     "analytics_chain": analytics_chain,
 }

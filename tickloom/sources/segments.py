@@ -7,11 +7,14 @@ header CRC-32 (with its own field as 0), zeros up to 192, then the columns price
 from __future__ import annotations
 
 import contextlib
+import itertools
+import json
 import os
 import struct
+import time
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,7 @@ MAGIC, VERSION, COLUMNS, HEADER = b"TICKSEG1", 1, 3, 192
 LAYOUT = struct.Struct("<8sIIQ3Q3d3d3I I".replace(" ", ""))
 FLAT_MAGIC = b"TICKFLT1"
 SUFFIX = ".tickseg"
+LOG = "appends.log"
 SCHEMA = "price double, volume double, ts_ns double"
 
 
@@ -99,11 +103,56 @@ def seal(path: str, data: bytes) -> None:
     os.close(folder)
 
 
-def recover(folder: str) -> int:
-    """Delete what unfinished writes left behind; returns how many files went."""
-    gone = 0
+def note(folder: str, state: str, name: str) -> None:
+    """Append a line to the folder's log and sync it: a name is noted as begun before its file is written, and as done afterwards."""
+    with open(os.path.join(folder, LOG), "ab") as f:
+        f.write(json.dumps({"state": state, "name": name}).encode() + b"\n")
+        f.flush()
+        os.fsync(f.fileno())
+
+
+def noted(folder: str) -> dict[str, str]:
+    """The last state of each name in the log; a torn line ends the log, no log is an empty one."""
+    states: dict[str, str] = {}
+    path = os.path.join(folder, LOG)
+    if not os.path.exists(path):
+        return states
+    with open(path, "rb") as f:
+        for line in f:
+            try:
+                record = json.loads(line)
+            except ValueError:
+                break
+            if not line.endswith(b"\n"):
+                break
+            states[record["name"]] = record["state"]
+    return states
+
+
+_appended = itertools.count()
+
+
+def append_segment(folder: str, price, volume, ts, name: str = "") -> str:
+    """Seal the columns as a segment of the folder, with its begin and end in the log; returns its path. A name that exists already is replaced."""
+    folder = local(folder)
+    os.makedirs(folder, exist_ok=True)
+    name = name or f"segment-{time.time_ns()}-{next(_appended)}{SUFFIX}"
+    data = pack(price, volume, ts)
+    note(folder, "begun", name)
+    seal(os.path.join(folder, name), data)
+    note(folder, "done", name)
+    return os.path.join(folder, name)
+
+
+def recover(folder: str, unlogged: bool = True) -> int:
+    """Delete what unfinished writes left behind; returns how many files went.
+
+    These are the partial files of names that the log has as begun and not done and, unless `unlogged` is false (another job may be writing), those the log doesn't name.
+    """
+    states, gone = noted(folder), 0
     for name in os.listdir(folder) if os.path.isdir(folder) else ():
-        if name.endswith(".partial"):
+        state = states.get(name.removesuffix(".partial"))
+        if name.endswith(".partial") and (state == "begun" or (state is None and unlogged)):
             os.remove(os.path.join(folder, name))
             gone += 1
     return gone
@@ -248,6 +297,17 @@ def replay_range(spark: SparkSession, path: str, first: float, last: float, batc
     return spark.read.format("tickseg").options(path=path, batch=batch, **{"from": first, "to": last}).load()
 
 
+def paced_batches(path: str, first: float = float("-inf"), last: float = float("inf"), rate: float = 0.0, batch: int = 4096, sleep: Callable[[float], None] = time.sleep) -> Iterator[pa.RecordBatch]:
+    """Hand out the rows within both bounds in batches that never cross files, at most `rate` rows a second since the start if above 0. One file is open at a time."""
+    reader, began, sent = SegmentReader(path, False, batch, first, last), time.monotonic(), 0
+    for partition in reader.partitions():
+        for rows in reader.read(partition):
+            sent += rows.num_rows
+            if rate > 0 and (wait := sent / rate - (time.monotonic() - began)) > 0:
+                sleep(wait)
+            yield rows
+
+
 class TickStore:
     """Segments as Parquet: each append writes files sorted by time, with footer bounds that prune range scans."""
 
@@ -291,6 +351,12 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("close").isNotNull()).withColumn("volume", F.coalesce("volume", F.lit(0.0)))
 
 
+def read_tick_csv(spark: SparkSession, path: str) -> DataFrame:
+    """price,volume,ts lines without a header, ts a whole number of nanoseconds; lines that lack one of the three or hold no number there go."""
+    rows = spark.read.csv(path, schema="price double, volume double, ts_ns bigint", mode="PERMISSIVE")
+    return rows.where(F.col("price").isNotNull() & F.col("volume").isNotNull() & F.col("ts_ns").isNotNull())
+
+
 CHART = "symbol string, timestamp array<bigint>, close array<double>, volume array<double>"
 
 

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -60,8 +61,6 @@ def each_batch(ticks: DataFrame, plan: Callable[[DataFrame], DataFrame], target:
 
 def sequence_gaps(frames: DataFrame) -> DataFrame:
     """Frames whose sequence doesn't follow the one before, and how many are missing."""
-    from pyspark.sql import Window as W
-
     before = F.lag("sequence").over(W.partitionBy("instrument").orderBy("sequence"))
     return frames.withColumn("missing", F.col("sequence") - before - 1).where(F.col("missing") != 0)
 
@@ -85,6 +84,27 @@ def bounded_channel(trace: DataFrame, capacity: int) -> DataFrame:
     return trace.groupBy("channel").applyInPandas(replay, "channel string, at bigint, op string, ok boolean, depth bigint")
 
 
+def blocking_channel(trace: DataFrame, capacity: int) -> DataFrame:
+    """A bounded queue whose pushes wait while it is full, over a trace as for bounded_channel (at is unique in a channel).
+
+    ok: a push is taken at once, a pop finds something. depth is what the queue holds after the event, waiting the pushes held back. Both follow from the
+    level of a queue without bound, which is the running sum of the steps less its lowest value below 0.
+    """
+    over = W.partitionBy("channel").orderBy("at")
+    push = F.col("op") == "push"
+    x = trace.withColumn("_sum", F.sum(F.when(push, 1).otherwise(-1)).over(over.rowsBetween(W.unboundedPreceding, 0)))
+    x = x.withColumn("_level", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(over.rowsBetween(W.unboundedPreceding, 0))))
+    ok = F.when(push, F.col("_level") <= capacity).otherwise(F.lag("_level", 1, 0).over(over) > 0)
+    return x.select("channel", "at", "op", ok.alias("ok"), F.least("_level", F.lit(capacity)).cast("long").alias("depth"), F.greatest(F.col("_level") - capacity, F.lit(0)).cast("long").alias("waiting"))
+
+
+def channel_counters(replayed: DataFrame) -> DataFrame:
+    """Per channel of a replayed trace: pushes accepted at once and refused (dropped, or made to wait), the depth at the end and the largest one."""
+    push = F.col("op") == "push"
+    counts = [F.count_if(push & F.col("ok")).alias("accepted"), F.count_if(push & ~F.col("ok")).alias("refused")]
+    return replayed.groupBy("channel").agg(*counts, F.max_by("depth", "at").alias("depth"), F.max("depth").alias("most"))
+
+
 def pack_frames(rows) -> bytes:
     return b"".join(FRAME.pack(max(0, int(ts)), float(p), float(v), int(s)) for ts, p, v, s in rows)
 
@@ -118,11 +138,15 @@ def serve(ticks: DataFrame, port: int, rate: float = 0.0, batch: int = 1024, rea
 
 
 class FeedReader(SimpleDataSourceStreamReader):
-    """Frames of one connection; the offset counts frames, and frames not yet committed are kept for replay."""
+    """Frames of one connection; the offset counts frames, and frames not yet committed are kept for replay.
+
+    copied counts the bytes received, the whole frames in them, and the times that a frame's first part was carried over to its rest.
+    """
 
     def __init__(self, host: str, port: int, most: int):
         self.host, self.port, self.most = host, port, most
         self.connection, self.carry, self.start, self.kept = None, b"", 0, []
+        self.copied = {"bytes": 0, "frames": 0, "split_frames": 0}
 
     def initialOffset(self) -> dict:
         return {"frames": 0}
@@ -135,6 +159,8 @@ class FeedReader(SimpleDataSourceStreamReader):
         try:
             while len(rows) < self.most and (data := self.connection.recv(FRAME.size * self.most)):
                 got, self.carry = unpack_frames(self.carry + data)
+                for key, n in (("bytes", len(data)), ("frames", len(got)), ("split_frames", bool(self.carry))):
+                    self.copied[key] += n
                 rows += got
         except TimeoutError:
             pass
