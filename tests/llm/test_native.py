@@ -5,6 +5,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
+import pandas as pd
+
 from tests.llm.util import collected, frame, make_rows, words
 from tickloom.llm import chat_events, license_index, source_mix
 
@@ -88,6 +91,26 @@ def test_licences_against_plain_search(spark):
     assert license_index.scan_licences(frame(spark, [])).count() == 0
 
 
+def test_licence_passages_against_sql(spark, tmp_path):
+    """Whole, mutated, cut and interleaved passages among words that templates share."""
+    r = random.Random(11)
+    common = [w for t in license_index.TEMPLATES for w in t.words] + ["word", "É"]
+    texts = [None, "", "license", " ".join(" ".join(t.words) for t in license_index.TEMPLATES)]
+    for t in license_index.TEMPLATES:
+        for _ in range(4):
+            w = [x if r.random() < 0.85 else r.choice(common) for x in t.words]
+            around = [r.choice(common) for _ in range(r.randint(0, 30))]
+            texts.append(" ".join(around[:9] + w[r.choice([0, 0, 1, 2]) :] + around[9:] + list(r.choice(license_index.TEMPLATES).words)).upper())
+    pd.DataFrame({"doc_id": range(len(texts)), "text": texts}).to_parquet(tmp_path / "documents.parquet")
+    found = license_index.op9_licence_scan(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = con.sql(license_index.oracle())
+    rows = sorted(tuple(r[c] for c in want.columns) for r in found.collect())
+    assert rows == sorted(want.fetchall())
+    assert set(rows[3][want.columns.index("labels")].split(",")) == {t.label for t in license_index.TEMPLATES}
+
+
 def highest_quotients(weights, seats):
     got = [0] * len(weights)
     for _ in range(seats):
