@@ -62,7 +62,7 @@ def test_rows_of_one_turn_are_messages_of_their_own(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["conv_id"]: r for r in chat_events.op2_chat_format(spark, str(tmp_path)).collect()}[1]
     said = "assistant\na1\nuser\nu1\n" + "\n\n" + "user\nx\n" * 2
-    assert (got["n_turns"], got["loss_chars"], got["turns_sha256"]) == (2, 2, hashlib.sha256(said.encode()).hexdigest())
+    assert (got["n_turns"], got["loss_chars"], got["turns_sha256"]) == (5, 2, hashlib.sha256(said.encode()).hexdigest())
     assert got["formatted_chars"] == sum(12 + len(r or "") + 1 + len(t or "") + 11 for _, _, r, t in rows)
 
 
