@@ -82,6 +82,37 @@ def test_components_against_all_pairs(spark, monkeypatch, frequent):
         assert {k: v for k, v in got.items() if k[0] is not None} == {k: v for k, v in want.items() if k[0] is not None}
 
 
+def opened_rows(group, salts):
+    """Near copies and texts of their own, each its own component but for some, as members and queries of one group: rows (g, salt, kind, cls, comp, tokens)."""
+    r = np.random.default_rng(group)
+    core = r.integers(1, 1 << 62, 100).astype(np.uint64)
+    sets = [np.unique(np.concatenate([core[k % 7 :], r.integers(1, 1 << 62, k % 60).astype(np.uint64)])) for k in range(90)]
+    comps = [k // 3 * 3 if k % 2 else k for k in range(90)]
+    rows = [(group, salt, 0, k, comps[k], sets[k].tobytes()) for salt in range(salts) for k in range(45)]
+    rows += [(group, k % salts, 1, k, comps[k], sets[k].tobytes()) for k in range(90)]
+    return sets, comps, sorted(rows, key=lambda x: x[:3])
+
+
+def test_edges_of_opened_groups_are_a_forest():
+    sets, comps, rows = opened_rows(5, 3)
+    linked = [(comps[x], comps[y]) for x in range(90) for y in range(45) if comps[x] != comps[y] and 4 * len(np.intersect1d(sets[x], sets[y])) >= 3 * len(np.union1d(sets[x], sets[y]))]
+    names = ["g", "salt", "kind", "cls", "comp", "tokens"]
+    batches = [pa.RecordBatch.from_pydict({n: [row[i] for row in rows[k : k + 50]] for i, n in enumerate(names)}) for k in range(0, len(rows), 50)]
+    found = [row for batch in token_groups.open_groups(iter(batches)) for row in batch.to_pylist()]
+
+    def classes(edges):
+        of = {c: c for c in comps}
+        for u, v in edges:
+            old, new = of[u], of[v]
+            of = {c: new if x == old else x for c, x in of.items()}
+        return {frozenset(c for c in of if of[c] == x) for x in of.values()}
+
+    assert len(linked) > 900 and classes([(e["u"], e["v"]) for e in found]) == classes(linked)
+    # As many edges as joins of components: a group of twice the size has twice the edges, not four times.
+    assert len(found) == len(set(comps)) - len(classes(linked))
+    assert len(found) <= sum(e["met"] for e in found) <= 90
+
+
 def test_similar_documents_of_nothing(spark):
     assert token_groups.similar_documents(frame(spark, [])).count() == 0
     assert token_groups.similar_documents(frame(spark, [(1, None, None, None, 0, "", "", "", ""), (2, "", None, None, 0, "", "", "", "")])).select("component_id").distinct().count() == 2

@@ -10,9 +10,9 @@ n - ceil(0.75 n) + 1 tokens, so linked classes share a prefix token, and of what
    matrix holds the union of a group's prefix tokens, for tokens that still meet in several components. Groups are bounded against groups: a pair is opened only
    if the distinct prefix tokens that both unions have reach what the smallest members need, less what can lie beyond the prefixes.
 3. In an opened pair each member of the one is a query: the overlap with the union of the other's whole sets is counted first; only if it is at least 0.75 |x| the
-   members of other components are compared one by one.
+   members of other components are compared one by one. A task's links come out as a forest of components, no more edges than components it has read.
 
-Every link between classes of different components is found in 3, so the components are exact. What the sketch counts, and how many rounds run, matters for speed alone.
+Every link between classes of different components is found in 3, or joins what a task's earlier links join, so the components are exact. What the sketch counts, and how many rounds run, matters for speed alone.
 
 Edge cases: null and empty texts, and those without words, have size 0 and link to nothing; texts with fewer than 5 words have one shingle; rows that repeat a
 doc_id count as documents of their own with that id; an empty table gives no rows; extra columns are ignored.
@@ -48,7 +48,7 @@ LEAD_COLUMNS = [f"lead{turn}" for turn in range(ROUNDS)]
 LEADS, SKETCH, LIKELY = 4, 24, 0.6
 #: Leads, or rows of opened groups (40 bytes each), that are broadcast; more join by shuffle.
 FEW_LEADS = 200_000
-#: Contraction ends with a round that found no more than one link in so many comparisons.
+#: Contraction ends with a round in which no more than one of so many queries met a link.
 FRUITLESS = 5
 
 
@@ -223,10 +223,19 @@ def whole_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between queries (kind 1) and those members (kind 0) of their group and salt that are of other components; rows come sorted so, members first."""
-    now, members, ready = None, [], None
+    """Edges (u, v) between the components of queries (kind 1) and of those members (kind 0) of their group and salt that they link to; rows come sorted so, members first.
+
+    A task's edges are a forest: a link between components that its earlier links join adds none, and a query that they join with all its members isn't compared.
+    met counts the queries that are joined with a member of another component; a task's first edge has them all.
+    """
+    now, members, ready, above, edges, met = None, [], None, {}, [], 0
+
+    def top(comp: int) -> int:
+        while (up := above.get(comp, comp)) != comp:
+            above[comp] = comp = above.get(up, up)
+        return comp
+
     for batch in batches:
-        out = []
         for g, salt, kind, cls, comp, tokens in zip(*(batch.column(k) for k in ("g", "salt", "kind", "cls", "comp", "tokens")), strict=True):
             key = (g.as_py(), salt.as_py())
             if key != now:
@@ -240,23 +249,32 @@ def open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if ready is None:
                 all_tokens = np.concatenate([m for _, _, m in members])
                 owner = np.repeat(np.arange(len(members)), [len(m) for _, _, m in members])
-                ready = all_tokens, owner, np.unique(all_tokens), np.array([len(m) for _, _, m in members]), np.array([c for _, c, _ in members])
+                ready = all_tokens, owner, np.unique(all_tokens), np.array([len(m) for _, _, m in members]), [c for _, c, _ in members]
             all_tokens, owner, union, sizes, comps = ready
-            n = len(mine)
+            n, x = len(mine), comp.as_py()
             place = np.minimum(np.searchsorted(union, mine), len(union) - 1)
             if 4 * int((union.take(place) == mine).sum()) < 3 * n:
                 continue
+            own = top(x)
+            if all(top(c) == own for c in comps):
+                met += any(c != x for c in comps)
+                continue
             place = np.minimum(np.searchsorted(mine, all_tokens), n - 1)
             overlap = np.bincount(owner[mine.take(place) == all_tokens], minlength=len(members))
-            x = cls.as_py()
-            out += [(x, members[i][0]) for i in np.flatnonzero((7 * overlap >= 3 * (n + sizes)) & (comps != comp.as_py()))]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
+            linked = [comps[i] for i in np.flatnonzero(7 * overlap >= 3 * (n + sizes)) if comps[i] != x]
+            met += bool(linked)
+            for c in linked:
+                if (one := top(x)) != (other := top(c)):
+                    above[one] = other
+                    edges.append((x, c))
+    if edges:
+        u, v = zip(*edges, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array([met] + [0] * (len(edges) - 1), pa.int64())], names=["u", "v", "met"])
     textscan.give_back()
 
 
 def links(sets: DataFrame, members: DataFrame, queries: DataFrame) -> DataFrame:
-    """Links (u, v) of the queries (g, cls, comp) with the members (g, cls, comp) of their groups, between components."""
+    """Edges (u, v) between components that links of the queries (g, cls, comp) with the members (g, cls, comp) of their groups join, and how many queries they meet."""
     sizes = saved(queries.groupBy("g").agg(F.count(F.lit(1)).alias("asking")), "asking")
     asked = sizes.select("g", F.ceil(F.col("asking") / SALT).cast("int").alias("salts"))
     tokens = sets.select(F.col("cls").alias("_cls"), "tokens")
@@ -270,7 +288,7 @@ def links(sets: DataFrame, members: DataFrame, queries: DataFrame) -> DataFrame:
     rows = F.broadcast(rows) if rows.count() <= FEW_LEADS else rows  # few go to the sets, which then move once
     rows = rows.join(tokens, F.col("cls") == F.col("_cls")).select("g", "salt", "kind", "cls", "comp", "tokens")
     dealt = rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "kind")
-    return dealt.mapInArrow(open_groups, "u bigint, v bigint")
+    return dealt.mapInArrow(open_groups, "u bigint, v bigint, met bigint")
 
 
 def relabelled(nodes: DataFrame, comps: DataFrame) -> DataFrame:
@@ -328,11 +346,9 @@ def more_sets(texts: DataFrame, known: DataFrame | None, wanted: DataFrame) -> D
     return found if known is None else known.unionByName(found)
 
 
-def merged(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """nodes with the components that the links join."""
-    of = nodes.select("cls", "comp")
-    edges = found.join(of.select(F.col("cls").alias("u"), F.col("comp").alias("_u")), "u").join(of.select(F.col("cls").alias("v"), F.col("comp").alias("_v")), "v")
-    return saved(relabelled(nodes, components(edges.select(F.col("_u").alias("u"), F.col("_v").alias("v")))), "nodes")
+def merged(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes with the components that the edges join."""
+    return saved(relabelled(nodes, components(edges)), "nodes")
 
 
 def likely(rows: DataFrame, leads: DataFrame) -> DataFrame:
@@ -365,10 +381,10 @@ def contracted(texts: DataFrame, rows: DataFrame, posts: DataFrame, nodes: DataF
         found = saved(links(known, stars.select(F.col("cls").alias("g"), "cls", "comp"), asked.select("g", "cls", "comp")), "found")
         led = asked.groupBy(F.col("cls").alias("_cls")).agg(F.min_by("g", "place").alias("_lead"))
         nodes = saved(nodes.join(led, F.col("cls") == F.col("_cls"), "left").withColumn("home", F.coalesce("home", "_lead")).drop("_cls", "_lead"), "nodes")
-        n_found = found.count()
-        if n_found:
+        n_met = found.agg(F.coalesce(F.sum("met"), F.lit(0))).first()[0]
+        if n_met:
             nodes = merged(nodes, found)
-        if n_found * FRUITLESS <= n_asked:
+        if n_met * FRUITLESS <= n_asked:
             break
     return nodes, known
 
