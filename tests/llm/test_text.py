@@ -113,6 +113,27 @@ def test_edges_of_opened_groups_are_a_forest():
     assert len(found) <= sum(e["met"] for e in found) <= 90
 
 
+def test_few_edges_leave_a_group_of_near_copies(spark, monkeypatch):
+    r = random.Random(8)
+    core, found = [f"c{i}" for i in range(80)], []
+    texts = [" ".join([*core, *(f"x{k}y{j}" for j in range(r.randint(0, 12)))]) for k in range(200)]
+    docs = spark.createDataFrame([(k + 1, t) for k, t in enumerate(texts)], "doc_id long, text string")
+
+    def saved(df, name, write=token_groups.saved):
+        table = write(df, name)
+        if name == "found":
+            found.append(table.count())
+        return table
+
+    # Without contraction all texts meet in the opened groups.
+    monkeypatch.setattr(token_groups, "contracted", lambda texts, rows, posts, nodes: (nodes, None))
+    monkeypatch.setattr(token_groups, "saved", saved)
+    kept = token_groups.one_of_each(docs)
+    assert sorted(tuple(x) for x in kept.collect()) == [(1, texts[0])] and len(set(texts)) > 150
+    # At most a forest from each of the 4 tasks.
+    assert 0 < sum(found) < 4 * 200
+
+
 def test_similar_documents_of_nothing(spark):
     assert token_groups.similar_documents(frame(spark, [])).count() == 0
     assert token_groups.similar_documents(frame(spark, [(1, None, None, None, 0, "", "", "", ""), (2, "", None, None, 0, "", "", "", "")])).select("component_id").distinct().count() == 2
