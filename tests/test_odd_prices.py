@@ -11,11 +11,11 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import tensor
+from tickloom.operators import tensor, windows
 from tickloom.oracles import ORACLES
 from tickloom.plans import report
 from tickloom.queries import QUERIES
-from tickloom.ticks import TICK_SCHEMA
+from tickloom.ticks import TICK_SCHEMA, rounded
 
 KINDS = ("zero", "minus", "nan", "inf", "plain", "flat")
 
@@ -76,3 +76,39 @@ def test_layernorm_of_an_empty_row(spark):
     x = spark.createDataFrame([(0, []), (1, [1.0, 3.0])], "row_id int, x array<double>")
     got = {r["row_id"]: r["y"] for r in x.select("row_id", tensor.layernorm(F.col("x")).alias("y")).collect()}
     assert got[0] == [] and got[1] == pytest.approx([-1, 1], abs=1e-4)
+
+
+@pytest.mark.parametrize("name", ["returns_drawdown_obv", "instrument_report", "time_range"])
+def test_ties_are_rounded_as_in_sql(spark, tmp_path, name):
+    """Falls from 800.00 and 512.00 have halves at the seventh decimal, values at the seventh too."""
+    r, n = np.random.default_rng(1), 4000
+    kind = np.array(["a", "b", "c"])[np.arange(n) % 3]
+    p = np.round(r.uniform(0, 500, n), 2)
+    p[:2] = 800.0, 512.0
+    p[kind == "c"] = r.integers(0, 10**6, (kind == "c").sum()) / 10**6 + 5e-7
+    when = (np.datetime64("2024-01-01") + np.arange(n).astype("timedelta64[s]")).astype("datetime64[us]")
+    rows = {"event_id": np.arange(n), "ts": when, "user_id": np.arange(n) % 3, "event_type": kind, "value": p, "props": ['{"k": 3}' if i % 5 else "{}" for i in range(n)]}
+    pq.write_table(pa.table(rows), tmp_path / "events.parquet")
+    found = QUERIES[name](spark, str(tmp_path))
+    columns = sorted(c for c in found.columns if name != "instrument_report" or c in ("instrument", "rows", "max_drawdown_pct", "first", "last", "min", "max"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.sql(ORACLES[name])
+    at = [want.columns.index(c) for c in columns]
+    assert sorted(tuple(str(r[c]) for c in columns) for r in found.collect()) == sorted(tuple(str(r[k]) for k in at) for r in want.fetchall())
+
+
+def test_rounding_of_odd_numbers(spark):
+    xs = [0.49999999999999994, 2.5e-6, -2.5e-6, 0.1234565, -0.8765434999999999, 1e300, -1e306, 4503599627.3704965, float("inf"), -float("inf"), 0.0, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
+    got = [r["x"] for r in rounded(df, "x").orderBy("i").collect()]
+    con = duckdb.connect()
+    assert got == [con.execute("SELECT round(?::DOUBLE, 6) + 0.0", [x]).fetchone()[0] for x in xs]
+    assert rounded(spark.createDataFrame([(float("nan"),)], "x double"), "x").first()["x"] is None
+
+
+def test_obv_goes_on_where_a_chunk_begins_without_volume(spark):
+    volume = [None, 2.0, 3.0, 4.0, None, None, 7.0, 8.0, None, None, None, None, None]
+    rows = [(k, i, 1000 + i, 10.0 + i, v if k == "a" else None) for k in "ab" for i, v in enumerate(volume)]
+    got = {(r["instrument"], r["ord"]): r["obv"] for r in windows.price_moves(spark.createDataFrame(rows, TICK_SCHEMA), size=4).collect()}
+    assert [got["a", i] for i in range(13)] == [None, 2, 5, 9, 9, 9, 16, 24, 24, 24, 24, 24, 24] and {got["b", i] for i in range(13)} == {None}

@@ -25,6 +25,14 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.when(F.isnan(x), x).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
+def rounded_to(x: Column, digits: int) -> Column:
+    """x to so many decimals, halves away from 0, by scaling as DuckDB does; Spark's round goes by a number's shortest text, which turns ties of quotients either way."""
+    scaled = x.cast("double") * 10.0**digits
+    whole = F.rint(scaled)
+    near = F.when(F.abs(scaled - whole) == 0.5, scaled + 0.5 * F.signum(scaled)).otherwise(whole) / 10.0**digits
+    return F.when(F.abs(scaled) == INF, x.cast("double")).otherwise(near)
+
+
 def total(x: Column) -> Column:
     """Sum; of no rows 0."""
     return F.coalesce(F.sum(x), F.lit(0.0))

@@ -132,11 +132,11 @@ def price_moves(ticks: DataFrame, size: int = CHUNK) -> DataFrame:
     x = x.withColumn("_tl_flow", signed_volume(p, F.col("_tl_before"), F.col("volume"))).withColumn("_tl_high", F.nanvl(p, F.lit(-INF)))
     ends = x.groupBy("instrument", "_tl_own").agg(F.max("_tl_high").alias("_tl_top"), F.sum("_tl_flow").alias("_tl_sum"))
     before = W.partitionBy("instrument").orderBy("_tl_own").rowsBetween(W.unboundedPreceding, -1)
-    ends = ends.select(F.col("instrument").alias("_tl_i"), F.col("_tl_own").alias("_tl_c"), F.max("_tl_top").over(before).alias("_tl_top"), F.coalesce(F.sum("_tl_sum").over(before), F.lit(0.0)).alias("_tl_sum"))
+    ends = ends.select(F.col("instrument").alias("_tl_i"), F.col("_tl_own").alias("_tl_c"), F.max("_tl_top").over(before).alias("_tl_top"), F.sum("_tl_sum").over(before).alias("_tl_sum"))
     x = x.withColumn("_tl_high", F.max("_tl_high").over(so_far)).withColumn("_tl_flow", F.sum("_tl_flow").over(so_far))
     x = x.join(ends, F.col("instrument").eqNullSafe(F.col("_tl_i")) & (F.col("_tl_own") == F.col("_tl_c")))
     ret = ieee_log(ieee_div(p, F.col("_tl_before")))
-    out = x.withColumns({"ret": ret, "dd": ieee_div(p, F.greatest("_tl_high", "_tl_top")) - 1.0, "obv": F.col("_tl_flow") + F.col("_tl_sum")})
+    out = x.withColumns({"ret": ret, "dd": ieee_div(p, F.greatest("_tl_high", "_tl_top")) - 1.0, "obv": F.coalesce(F.col("_tl_flow") + F.col("_tl_sum"), "_tl_flow", "_tl_sum")})
     return out.drop("_tl_chunk", "_tl_own", "_tl_before", "_tl_flow", "_tl_high", "_tl_i", "_tl_c", "_tl_top", "_tl_sum")
 
 

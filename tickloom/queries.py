@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tickloom import ticks as T
 from tickloom.functions import display
 from tickloom.functions.expression import evaluate
+from tickloom.functions.ieee import rounded_to
 from tickloom.operators import reductions, scans, tensor, windows
 from tickloom.plans import pipelines, report
 from tickloom.sources import segments
@@ -141,7 +142,8 @@ def mlp(spark, d):
 
 def instrument_report(spark, d):
     x = report.analytics(events(spark, d))
-    return T.rounded(x, *report.METRICS, digits=6).withColumns({c: F.round(c, 2) for c in ("dollar_volume", "total_volume")})
+    coarse = ("dollar_volume", "total_volume")
+    return T.rounded(T.rounded(x, *[c for c in report.METRICS if c not in coarse]), *coarse, digits=2)
 
 
 def report_table(spark, d):
@@ -187,7 +189,7 @@ def time_range(spark, d):
     first, last = e.agg(F.min("ts"), F.max("ts")).first()
     span = (last - first) / 4
     inside = e.where((F.col("ts") >= F.lit(first + span)) & (F.col("ts") <= F.lit(last - span)))
-    return inside.select("event_id", "event_type", F.round("value", 6).alias("value"))
+    return inside.select("event_id", "event_type", rounded_to(F.col("value"), 6).alias("value"))
 
 
 def replay_batches(spark, d):

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.functions.ieee import rounded_to
+
 TICK_SCHEMA = T.StructType([T.StructField("instrument", T.StringType()), T.StructField("ord", T.LongType()), T.StructField("ts_ns", T.LongType()), T.StructField("price", T.DoubleType()), T.StructField("volume", T.DoubleType())])
 
 #: Every ordered operator sorts by these within an instrument: time, then a unique id.
@@ -43,7 +45,7 @@ def order_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     """The named columns rounded, negative zero as zero and NaN as null: comparable across engines."""
-    tidy = lambda c: F.when(~F.isnan(c), F.round(c, digits) + 0.0)
+    tidy = lambda c: F.when(~F.isnan(c), rounded_to(c, digits) + 0.0)
     return df.withColumns({n: tidy(F.col(n)) for n in names})
 
 
