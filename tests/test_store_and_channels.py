@@ -5,6 +5,7 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from tests.test_plans_and_sources import chain, columns
@@ -96,3 +97,46 @@ def test_channel_queries_against_sql(spark, name):
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(df.columns)
     assert sorted(tuple(r) for r in df.select(names).collect()) == sorted(tuple(int(v) if not isinstance(v, str) else v for v in row) for row in want.fetchall())
+
+
+def test_queue_depths_against_a_plain_queue():
+    r = np.random.default_rng(7)
+    for n, capacity, share in ((1, 3, 0.5), (64, 1, 0.5), (1000, 5, 0.6), (1000, 40, 0.5), (777, 1000, 0.9), (300, 0, 0.5)):
+        steps = np.where(r.random(n) < share, 1, -1)
+        for start, got in zip((0, capacity // 2, capacity), online.queue_depths(steps, capacity, (0, capacity // 2, capacity)), strict=True):
+            want, y = [], start
+            for s in steps.tolist():
+                y = min(capacity, max(0, y + s))
+                want.append(y)
+            assert got.tolist() == want
+
+
+def replayed(trace, capacity):
+    depth, out = {}, {}
+    for c, at, op in sorted(trace, key=lambda x: (x[0] or "", x[1])):
+        y = depth.get(c, 0)
+        ok = y < capacity if op == "push" else y > 0
+        depth[c] = y + (1 if op == "push" else -1) * ok
+        out[c, at] = ok, depth[c]
+    return out
+
+
+@pytest.mark.parametrize("capacity", [0, 5, 400, 10**6])
+def test_channel_of_many_ranges_and_batches(spark, capacity):
+    """Channels that span ranges and Arrow batches, many in one batch, and one without a name."""
+    r = random.Random(5)
+    trace = [(c, at, "push" if r.random() < share else "pop") for c, n, share in (("a", 4000, 0.55), ("b", 3000, 0.45), (None, 900, 0.6), ("z", 2500, 0.5)) for at in range(n)]
+    trace += [(f"c{i}", at, "push") for i in range(40) for at in range(3)]
+    df = spark.createDataFrame(r.sample(trace, len(trace)), TRACE)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        got = {(x["channel"], x["at"]): (x["ok"], x["depth"]) for x in online.bounded_channel(df, capacity).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == replayed(trace, capacity)
+
+
+def test_a_channel_is_not_one_group_of_python(spark):
+    trace = spark.range(50_000).selectExpr("'a' AS channel", "id AS at", "if(id % 3 = 0, 'pop', 'push') AS op")
+    plan = online.bounded_channel(trace, 8)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsIn" not in plan and "FlatMapCoGroupsIn" not in plan

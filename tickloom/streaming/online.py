@@ -7,7 +7,10 @@ import struct
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +18,8 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from tickloom.lineage import saved
+
 FRAME = struct.Struct("<QddQ")
 FRAME_SCHEMA = "ts_ns bigint, price double, volume double, sequence bigint"
 MEAN_SCHEMA = "instrument string, ord bigint, ts_ns bigint, mean double"
@@ -65,23 +70,91 @@ def sequence_gaps(frames: DataFrame) -> DataFrame:
     return frames.withColumn("missing", F.col("sequence") - before - 1).where(F.col("missing") != 0)
 
 
-def bounded_channel(trace: DataFrame, capacity: int) -> DataFrame:
-    """A bounded queue that drops the newest, replayed over a trace (channel, at, op: push or pop): accepted for each push, taken for each pop, and depth after it.
+#: Steps of a block of queue_depths.
+BLOCK = 64
+_TRACE = "channel string, at bigint, op string"
+
 
-    Depth follows one event at a time, so a channel is one ordered group; its state is a single number.
+def queue_depths(steps: np.ndarray, capacity: int, starts: tuple[int, ...]) -> list[np.ndarray]:
+    """Depth after each step (1: push, -1: pop) of a queue that drops, for each depth at the start.
+
+    From depth y, some steps lead to min(high, max(low, y + their sum)), where low and high are what they make of the empty and of the full queue. So all blocks of
+    BLOCK steps are followed side by side, and only their ends one after the other.
+    """
+    n, size = len(steps), max(1, min(BLOCK, len(steps)))
+    padded = np.zeros(-(-n // size) * size, np.int64)
+    padded[:n] = steps
+    columns = np.ascontiguousarray(padded.reshape(-1, size).T)
+    low, high, moved = np.empty_like(columns), np.empty_like(columns), columns.cumsum(0)
+    empty, full = np.zeros(columns.shape[1], np.int64), np.full(columns.shape[1], capacity)
+    for k, step in enumerate(columns):
+        low[k] = empty = np.clip(empty + step, 0, capacity)
+        high[k] = full = np.clip(full + step, 0, capacity)
+    ends, out = [x[-1].tolist() for x in (moved, low, high)], []
+    for y in starts:
+        begun = []
+        for d, bottom, top in zip(*ends, strict=True):
+            begun.append(y)
+            y = min(top, max(bottom, y + d))
+        out.append(np.minimum(high, np.maximum(low, np.array(begun, np.int64) + moved)).T.ravel()[:n])
+    return out
+
+
+def _pieces(capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For the sorted rows of a partition: what the channel's steps before each row, in this partition, make of a depth y: min(_tl_high, max(_tl_low, y + _tl_sum)).
+
+    _tl_n is the row's place among them. Only the last row's figures are carried from one Arrow batch to the next.
     """
 
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("at")
-        depth, ok, after = 0, [], []
-        for op in rows["op"]:
-            good = depth < capacity if op == "push" else depth > 0
-            depth += (1 if op == "push" else -1) if good else 0
-            ok.append(good)
-            after.append(depth)
-        return rows.assign(ok=ok, depth=after)
-
-    return trace.groupBy("channel").applyInPandas(replay, "channel string, at bigint, op string, ok boolean, depth bigint")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        channel, n, total, low, high = None, 0, 0, 0, capacity
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            steps = np.where(pc.fill_null(pc.equal(rows["op"], "push"), False).to_numpy(zero_copy_only=False), 1, -1)
+            names = rows["channel"].dictionary_encode()
+            codes = pc.fill_null(names.indices, -1).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+            found = []
+            for begin, end in zip(edges[:-1], edges[1:], strict=True):
+                name = rows["channel"][begin].as_py()
+                if name != channel:
+                    channel, n, total, low, high = name, 0, 0, 0, capacity
+                part = steps[begin:end]
+                lows, highs = queue_depths(part, capacity, (low, high))
+                sums = total + part.cumsum()
+                found.append((*[np.concatenate([[x], xs[:-1]]) for x, xs in ((total, sums), (low, lows), (high, highs))], n + np.arange(len(part))))
+                n, total, low, high = n + len(part), int(sums[-1]), int(lows[-1]), int(highs[-1])
+            figures = [pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *figures], [*rows.schema.names, "_tl_sum", "_tl_low", "_tl_high", "_tl_n"])
+
+    return scan
+
+
+def bounded_channel(trace: DataFrame, capacity: int) -> DataFrame:
+    """A bounded queue that drops the newest, replayed over a trace (channel, at, op: push or pop; at is unique in a channel): ok for a push that is accepted and a pop that finds something, and depth after it.
+
+    Rows are dealt by ranges of (channel, at) and written with what the steps before them in their range make of any depth; the depth at a range's begin follows
+    from the ranges before it, one row each, and is 0 for a channel that begins there.
+    """
+    n = int(trace.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(capacity, 0)
+    rows = trace.select(F.col("channel").cast("string").alias("channel"), F.col("at").cast("bigint").alias("at"), F.col("op").cast("string").alias("op"))
+    dealt = rows.repartitionByRange(n, "channel", "at").sortWithinPartitions("channel", "at").withColumn("_tl_part", F.spark_partition_id())
+    pieces = saved(dealt.mapInArrow(_pieces(most), f"{_TRACE}, _tl_part int, _tl_sum bigint, _tl_low bigint, _tl_high bigint, _tl_n bigint"), "channels")
+    step = F.when(F.col("op") == "push", 1).otherwise(-1)
+    within = lambda low, x, high: F.least(high, F.greatest(low, x))
+    after = lambda c: within(F.lit(0), F.col(c) + step, F.lit(most)).cast("long")
+    last = F.max_by(F.struct((F.col("_tl_sum") + step).cast("long").alias("d"), after("_tl_low").alias("low"), after("_tl_high").alias("high")), "_tl_n").alias("_tl_end")
+    before = W.partitionBy("channel").orderBy("_tl_part").rowsBetween(W.unboundedPreceding, -1)
+    ends = pieces.groupBy("channel", "_tl_part").agg(last).withColumn("_tl_ends", F.collect_list("_tl_end").over(before))
+    start = F.aggregate("_tl_ends", F.lit(0).cast("long"), lambda y, end: within(end["low"], y + end["d"], end["high"]))
+    # A range holds one channel at most that began in an earlier one, so these rows are fewer than the ranges.
+    starts = ends.select(F.col("channel").alias("_tl_c"), F.col("_tl_part").alias("_tl_p"), start.alias("_tl_start")).where("_tl_start > 0")
+    x = pieces.join(F.broadcast(starts), F.col("channel").eqNullSafe(F.col("_tl_c")) & (F.col("_tl_part") == F.col("_tl_p")), "left")
+    x = x.withColumn("_tl_old", within(F.col("_tl_low"), F.coalesce("_tl_start", F.lit(0)) + F.col("_tl_sum"), F.col("_tl_high")))
+    ok = F.when(F.col("op") == "push", F.col("_tl_old") < most).otherwise(F.col("_tl_old") > 0)
+    return x.select("channel", "at", "op", ok.alias("ok"), after("_tl_old").alias("depth"))
 
 
 def blocking_channel(trace: DataFrame, capacity: int) -> DataFrame:
