@@ -112,3 +112,16 @@ def test_obv_goes_on_where_a_chunk_begins_without_volume(spark):
     rows = [(k, i, 1000 + i, 10.0 + i, v if k == "a" else None) for k in "ab" for i, v in enumerate(volume)]
     got = {(r["instrument"], r["ord"]): r["obv"] for r in windows.price_moves(spark.createDataFrame(rows, TICK_SCHEMA), size=4).collect()}
     assert [got["a", i] for i in range(13)] == [None, 2, 5, 9, 9, 9, 16, 24, 24, 24, 24, 24, 24] and {got["b", i] for i in range(13)} == {None}
+
+
+def test_price_moves_of_tied_ticks_follow_one_order(spark, monkeypatch):
+    """Rows of a chunk come in any order where several executors send them; ticks that tie keep their places nevertheless."""
+    plain = windows.chunked
+    monkeypatch.setattr(windows, "chunked", lambda *a: plain(*a).repartition(5, F.rand(1)).sortWithinPartitions(F.rand(2)))
+    rows = [("a", 1, 5, float(p), 1.0) for p in np.random.default_rng(2).permutation(np.arange(1, 401))]
+    got = sorted(((r["_tl_rn"], r["price"], r["ret"], r["obv"], r["dd"]) for r in windows.price_moves(spark.createDataFrame(rows, TICK_SCHEMA), size=64).collect()), key=lambda x: x[0])
+    obv = high = 0.0
+    for i, (rn, price, ret, found, dd) in enumerate(got):
+        before = got[i - 1][1] if i else price
+        obv, high = obv + np.sign(price - before), max(high, price)
+        assert rn == i and (ret or 0.0) == pytest.approx(math.log(price / before)) and found == obv and dd == price / high - 1

@@ -125,7 +125,7 @@ def price_moves(ticks: DataFrame, size: int = CHUNK) -> DataFrame:
 
     Chunks are worked on side by side; a chunk's largest price and its signed volume are carried to the later ones, one row per chunk.
     """
-    o = in_order("_tl_chunk")
+    o = W.partitionBy("instrument", "_tl_chunk").orderBy("_tl_rn")
     so_far = o.rowsBetween(W.unboundedPreceding, 0)
     p = F.col("price")
     x = chunked(ticks, 1, size).withColumn("_tl_before", F.lag(p).over(o)).where("_tl_chunk = _tl_own")
